@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from nightloom.llm import lines
 from nightloom.llm.common import table
 from nightloom.llm.licenses import scan_licenses
 from nightloom.llm.media import media_columns, media_digest
 from nightloom.llm.mixing import mix_sources
+from nightloom.llm.packing import pack
+from nightloom.llm.secrets import scan_secrets
 from nightloom.llm.topk import top_inner_products
 from nightloom.llm.url_filter import judge_urls
 
 
+def op2_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_license_scans(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filters(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -22,6 +33,10 @@ def op7_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "copy", "mix_key")
 
 
+def op8_secret_scans(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_media_columns(spark, sf_dir):
     return media_digest(media_columns(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -30,5 +45,18 @@ def op10_top_inner_products(spark, sf_dir):
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scans, op6_url_filters, op7_mix_sources, op9_media_columns, op10_top_inner_products)}
-ORACLE = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_line_dedup,
+        op4_license_scans,
+        op5_best_fit_packing,
+        op6_url_filters,
+        op7_mix_sources,
+        op8_secret_scans,
+        op9_media_columns,
+        op10_top_inner_products,
+    )
+}
+
+ORACLE = {"op2_line_dedup": lines.SQL}
