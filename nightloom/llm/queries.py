@@ -7,12 +7,17 @@ from nightloom.llm.common import table
 from nightloom.llm.licenses import scan_licenses
 from nightloom.llm.media import media_columns, media_digest
 from nightloom.llm.mixing import mix_sources
+from nightloom.llm.ngram_join import near_duplicates
 from nightloom.llm.packing import pack
 from nightloom.llm.secrets import scan_secrets
 from nightloom.llm.topk import top_inner_products
 from nightloom.llm.url_filter import judge_urls
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -48,6 +53,7 @@ def op10_top_inner_products(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_line_dedup,
         op4_license_scans,
         op5_best_fit_packing,
