@@ -11,6 +11,7 @@ from nightloom.llm.ngram_join import near_duplicates
 from nightloom.llm.packing import pack
 from nightloom.llm.secrets import scan_secrets
 from nightloom.llm.topk import top_inner_products
+from nightloom.llm.toxicity import held_out, score_toxicity
 from nightloom.llm.url_filter import judge_urls
 
 
@@ -22,6 +23,11 @@ def op2_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_license_scans(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard_join,
         op2_line_dedup,
+        op3_toxicity,
         op4_license_scans,
         op5_best_fit_packing,
         op6_url_filters,
