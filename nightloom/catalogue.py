@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+for _name in ("frames",):
+    _plan = importlib.import_module(f"nightloom.plans.{_name}")
+    QUERIES.update(_plan.QUERIES)
+    ORACLE.update(_plan.ORACLE)
