@@ -208,8 +208,8 @@ def _evidence(lists: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndar
     return np.clip(out / 3, -1, 2).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network | None:
-    """A network from labelled texts; None without both labels."""
+def train(texts: list[str | None], labels: list[int], steps: int = 450, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network | None:
+    """A network from labelled texts; None without both labels. About `steps` batches at least, in 5 to 40 epochs."""
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
@@ -231,6 +231,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: in
     every = np.concatenate(cut)
     moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in net.p.items()}
     step = 0
+    epochs = int(np.clip(steps * batch / (2 * y[learn].sum() + 5 * (1 - y[learn]).sum()), 5, 40))
     for epoch in range(epochs):
         if epoch:
             score = _all_logits(net, v, every)
@@ -258,7 +259,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: in
                 m, s2 = (old[at_rows] for old in moments[k])
                 m, s2 = m + 0.1 * (g - m), s2 + 0.01 * (g * g - s2)
                 moments[k][0][at_rows], moments[k][1][at_rows] = m, s2
-                net.p[k][at_rows] -= rate * 0.7**epoch * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-7)
+                net.p[k][at_rows] -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-7)
     score = _all_logits(net, v, every)
     top = np.array([score[first[k] : first[k + 1]].max() for k in range(len(docs))])
     net.shift = _threshold(top[held], y[held]) if held.any() and len(set(y[held])) == 2 else _threshold(top, y)
@@ -280,10 +281,10 @@ def _threshold(top: np.ndarray, y: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
-def scores(net: Network | None, prior: float, texts: list[str | None], state: dict) -> list[float]:
+def scores(net: Network | None, texts: list[str | None], state: dict) -> list[float]:
     """Scores of whole texts. state keeps the input terms of words from call to call (and starts anew when full)."""
     if net is None:
-        return [prior] * len(texts)
+        return [0.0] * len(texts)
     if len(state.setdefault("rows", {})) > 200_000 or "table" not in state:
         state["rows"], state["table"] = {}, np.zeros((4096, 6 * HIDDEN), np.float32)
     rows, fresh = state["rows"], []
@@ -329,14 +330,13 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5) -> tuple[Network | None, float]:
+def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5) -> Network | None:
     """A network from a bounded sample of labelled documents: at most `most` of each label, by hash of the id, held-out rows left out."""
     given = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # at most 2 * most rows of two numbers
     rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.collect())
-    y = [r[2] for r in rows]
-    return train([r[1] for r in rows], y, seed=seed), float(np.mean(y)) if y else 0.0
+    return train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
@@ -344,10 +344,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Data
 
     docs has doc_id and text, labels doc_id and toxic. Whole texts are read, in overlapping windows. Null or empty texts and those
     without a letter score 0. Rows with null ids are scored, not learnt from; repeated rows score alike; of contradictory labels the toxic one holds.
-    Without labels of both kinds the score is the share of toxic ones among the labels there are (0 without any). An empty table gives an empty one.
+    Without labels of both kinds nothing can be learnt and every score is 0. An empty table gives an empty one.
     """
-    net, prior = train_on(docs, labels, most)
-    sent = docs.sparkSession.sparkContext.broadcast((net, prior))
+    sent = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, most))
     names = docs.columns
 
     def run(batches):
@@ -357,7 +356,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                s = scores(*sent.value, part.column(names.index("text")).to_pylist(), state)
+                s = scores(sent.value, part.column(names.index("text")).to_pylist(), state)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*names, "score", "predicted"])
 
     from pyspark.sql import types as T
