@@ -3,8 +3,8 @@
 A line (spaces at its ends aside) is known by a 64-bit hash. For every hash that occurs often enough, HyperLogLog sketches of the
 sites it stands on, of the texts it stands in and of its contexts (the lines before and after) are built per task and merged by
 aggregation. Where an estimate is near its threshold, exact distinct counts decide. A line is boilerplate if it
-stands on min_sites sites or more, and its contexts differ: copies of a whole document repeat their lines in the same
-context and are left to document dedup.
+stands on min_sites sites or more, and in as many contexts, half as many as there are texts with it at least: copies of a whole document repeat
+their lines in the same context and are left to document dedup.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SHARES = 64
 LG_K = 12  # sketches of 4096 registers: a standard error of 1.6 %
 NEAR = 0.1  # estimates within a tenth of a threshold are counted exactly: six standard errors
 
@@ -40,15 +41,14 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10, context_share: float
     # A line on min_sites sites occurs that often at least.
     often = seen.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
     some = seen.join(often, "line", "left_semi")
-    sketched = some.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("body", F.lit(LG_K))).alias("texts"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("context", F.lit(LG_K))).alias("contexts"),
-    )
+    # Sketches of shares of a line's occurrences, then their union: a line that a third of all documents have is many shares.
+    shares = some.groupBy("line", F.pmod("body", F.lit(SHARES)).alias("share")).agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in ("site", "body", "context")])
+    sketched = shares.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(n) for c, n in (("site", "sites"), ("body", "texts"), ("context", "contexts"))])
     around = lambda x, limit: F.abs(x - limit) <= F.greatest(F.lit(1.0), limit * NEAR)
-    wide = (F.col("sites") >= min_sites) & (F.col("contexts") >= F.col("texts") * context_share)
-    unsure = around(F.col("sites"), F.lit(min_sites)) | around(F.col("contexts"), F.col("texts") * context_share)
-    hopeless = (F.col("sites") < min_sites * (1 - NEAR) - 1) | (F.col("contexts") < F.col("texts") * context_share * (1 - NEAR) - 1)
+    needed = F.greatest(F.lit(float(min_sites)), F.col("texts") * context_share)
+    wide = (F.col("sites") >= min_sites) & (F.col("contexts") >= needed)
+    unsure = around(F.col("sites"), F.lit(min_sites)) | around(F.col("contexts"), needed)
+    hopeless = (F.col("sites") < min_sites * (1 - NEAR) - 1) | (F.col("contexts") < needed * (1 - NEAR) - 1)
     clear = sketched.where(wide & ~unsure).select("line")
     doubt = sketched.where(unsure & ~hopeless).select("line")
     exact = (
@@ -88,7 +88,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, ''
 l AS (SELECT rid, doc_id, text, site, trim(unnest(parts)) AS line, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw FROM d),
 c AS (SELECT *, coalesce(CASE WHEN lag(line) OVER w <> '' THEN 'x' || lag(line) OVER w END, '') AS prev, coalesce(CASE WHEN lead(line) OVER w <> '' THEN 'x' || lead(line) OVER w END, '') AS next FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 bad AS (SELECT line FROM c WHERE line <> '' GROUP BY line
-  HAVING count(DISTINCT site) >= 10 AND count(DISTINCT (prev, next)) >= 0.5 * count(DISTINCT text)),
+  HAVING count(DISTINCT site) >= 10 AND count(DISTINCT (prev, next)) >= greatest(10, 0.5 * count(DISTINCT text))),
 k AS (SELECT rid, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE line IN (SELECT line FROM bad)) AS n_removed,
   coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (SELECT line FROM bad)), '') AS kept FROM c GROUP BY rid)
 SELECT d.doc_id, k.n_lines, k.n_removed, CASE WHEN d.text IS NOT NULL THEN k.kept END AS text FROM d JOIN k USING (rid)
