@@ -28,7 +28,7 @@ from nightloom.llm.common import components, saved
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64 | 1 for j in range(SHINGLE)], np.uint64)
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)  # odd and unrelated: places must not be exchangeable
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

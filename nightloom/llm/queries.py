@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nightloom.llm import lines
+from nightloom.llm import lines, oracles
 from nightloom.llm.common import table
 from nightloom.llm.licenses import scan_licenses
 from nightloom.llm.media import media_columns, media_digest
@@ -72,4 +72,9 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op2_line_dedup": lines.SQL}
+ORACLE = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op2_line_dedup": lines.SQL,
+    "op7_mix_sources": oracles.MIX_SOURCES,
+    "op10_top_inner_products": oracles.TOP_INNER_PRODUCTS,
+}

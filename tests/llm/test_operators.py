@@ -79,6 +79,15 @@ def test_shingles_are_of_the_words():
     assert (ngram_join.shingle_set("É b c d e") != ngram_join.shingle_set("é b c d e")).any()  # only A-Z is lowered
 
 
+def test_repeated_words_keep_their_places():
+    words = ["a", "b", "a", "a", "c", "b", "a", "b", "b", "c", "a", "a", "b", "c", "c"] * 3
+    assert len(ngram_join.shingle_set(" ".join(words))) == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    import itertools
+
+    every = [" ".join(p) for p in itertools.product("abc", repeat=5)]
+    assert len({int(ngram_join.shingle_set(t)[0]) for t in every}) == len(every)
+
+
 def test_every_similar_pair_meets():
     """The pigeonhole: random pairs at the threshold share a signature that neither loses, in all sizes."""
     rng = np.random.default_rng(1)
