@@ -33,3 +33,28 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM k WHERE place <= 5
 """
+
+
+def url_filters(rules, damping: float = 0.85, rounds: int = 8) -> str:
+    """The rounds of both rankings unrolled into common table expressions."""
+    longest = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in longest]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    sql = f"""
+WITH a AS (SELECT page_id, coalesce(html, '') AS html, {rest} AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
+b AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM a),
+j AS (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS rv FROM b),
+lk AS (SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst FROM b),
+h AS (SELECT host FROM b WHERE host <> '' UNION SELECT dst FROM lk),
+f1 AS (SELECT host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS up FROM h), f2 AS (SELECT host, up FROM f1 WHERE up <> '' UNION SELECT up, regexp_extract(up, '^[^.]+\\.(.+\\..+)$', 1) FROM f1 WHERE up <> ''),
+e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM lk UNION ALL SELECT host, up FROM f2 UNION ALL SELECT up, host FROM f2) WHERE src <> '' AND dst <> '' AND src <> dst)"""
+    for name, verdict, src, dst in (("t", "allow", "src", "dst"), ("x", "block", "dst", "src")):
+        sql += f""",
+{name}e AS (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS deg FROM e), {name}s AS (SELECT host, CAST(1 AS DOUBLE) / count(*) OVER () AS base FROM (SELECT DISTINCT host FROM j WHERE rv = '{verdict}' AND host <> '')), {name}0 AS (SELECT host, base AS score FROM {name}s)"""
+        for k in range(rounds):
+            sql += f""",
+{name}{k + 1} AS (SELECT coalesce(s.host, m.host) AS host, round(coalesce(base, 0) * {1 - damping!r} + coalesce(got, 0) * {damping!r}, 12) AS score FROM {name}s s FULL JOIN (SELECT dst AS host, sum(score / deg) AS got FROM {name}e JOIN {name}{k} r ON r.host = src GROUP BY 1) m ON m.host = s.host)"""
+    return sql + f"""
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(rv, CASE WHEN coalesce(x.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN x{rounds} x ON x.host = j.host"""

@@ -12,7 +12,7 @@ from nightloom.llm.packing import pack
 from nightloom.llm.secrets import scan_secrets
 from nightloom.llm.topk import top_inner_products
 from nightloom.llm.toxicity import held_out, score_toxicity
-from nightloom.llm.url_filter import judge_urls
+from nightloom.llm.url_filter import RULES, judge_urls
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -37,7 +37,7 @@ def op5_best_fit_packing(spark, sf_dir):
 
 
 def op6_url_filters(spark, sf_dir):
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_mix_sources(spark, sf_dir):
@@ -75,6 +75,7 @@ QUERIES = {
 ORACLE = {
     "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
     "op2_line_dedup": lines.SQL,
+    "op6_url_filters": oracles.url_filters(RULES),
     "op7_mix_sources": oracles.MIX_SOURCES,
     "op10_top_inner_products": oracles.TOP_INNER_PRODUCTS,
 }
