@@ -108,19 +108,22 @@ class Plan:
             near = sum(n for k, n in density.items() if low * 0.8 <= 1.25**k <= high * 1.25)
             self.allocations.append(allocate(low, high, near))
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """All signatures of a set, those for its own band and those for the band below."""
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of a set in its own band and in the band below: hashes, roles (0 own, 1 below), weights, and the weight that may be lost in that role."""
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         own = int(np.searchsorted(self.highs, n))
-        out = [self._in_band(tokens, own)]
+        # The smaller set of a pair in the own band has at most n tokens, in the band below at most that band's.
+        parts = [self._in_band(tokens, own, largest_difference(n))]
         if own and n * PERCENT <= 100 * self.bands[own - 1][1]:
-            out.append(self._in_band(tokens, own - 1))
-        return np.concatenate(out)
+            smaller = self.bands[own - 1][1]
+            parts.append(self._in_band(tokens, own - 1, min(largest_difference(smaller), (n + smaller) * (100 - PERCENT) // (100 + PERCENT))))
+        sig = [s for s, _, _ in parts]
+        return np.concatenate(sig), np.repeat(np.arange(len(parts)), [len(s) for s in sig]), np.concatenate([w for _, w, _ in parts]), np.repeat([x for _, _, x in parts], [len(s) for s in sig])
 
-    def _in_band(self, tokens: np.ndarray, band: int) -> np.ndarray:
-        m, double, slack = self.allocations[band]
+    def _in_band(self, tokens: np.ndarray, band: int, difference: int) -> tuple[np.ndarray, np.ndarray, int]:
+        m, double, _ = self.allocations[band]
         salt, base = (np.uint64((band + 1) * x % 2**64) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
         mixed = _mix(tokens + salt)
         segment = (mixed >> np.uint64(40)) % np.uint64(m)
@@ -134,17 +137,19 @@ class Plan:
         name = _mix(np.arange(m, dtype=np.uint64) + base)
         thin = ~full
         thin[:double] |= count[:double] == 1
-        out = [_mix(total[full] ^ name[full])]
+        out, weights = [_mix(total[full] ^ name[full])], [1 + (np.flatnonzero(full) < double)]
         if double:
             two = segment < double
             seg = segment[two]
             keep = count[seg] > 1  # what is left of a single token is nothing: a thin segment
             seg = seg[keep]
             out.append(_mix((total[seg] - mixed[two][keep]) ^ name[seg]))
-        weight = int(thin.sum()) + int(thin[:double].sum())
-        if weight > slack:
+            weights.append(np.full(len(seg), 2))
+        left = m + double - difference - 1 - int(thin.sum()) - int(thin[:double].sum())
+        if left < 0:
             out.append(_mix(name[thin]))  # the empty content
-        return np.concatenate(out)
+            weights.append(np.full(int(thin.sum()), 2))
+        return np.concatenate(out), np.concatenate(weights), left
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
@@ -161,15 +166,18 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sizes, "doc_id long, n long, h1 long, h2 long")
 
 
-def _dealt(docs: DataFrame, plan: Plan, buckets: int, combine: bool) -> DataFrame:
-    """From label, text: rows (bucket, kind, sig, label). Kind 0: five bytes of each signature (in a bucket they tell it; a false
-    meeting would only be verified in vain) and its label as a step from the one before. With combine a batch sends a signature's smallest
-    label only, and the pairs that met inside the batch as rows of kind 1 (labels in sig and label)."""
+def _dealt(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
+    """From doc_id, text: rows (bucket, kind, sig, label, role, weight, left), arrays packed as bytes.
+
+    Kind 0: signatures of a bucket (40 bits tell one there; a false meeting would only be verified in vain), their documents as steps from one to the
+    next, roles, weights and losses left. Kind 1: copies met inside a batch, (sig, label) = (copy, first); only the first goes on. Kind 2: signatures that are common
+    inside a batch already, for good; kind 3 tells the bucket that they are. So a signature of very many documents costs a few rows a batch there.
+    """
 
     def deal(batches):
         import pyarrow as pa
 
-        names = ["bucket", "kind", "sig", "label"]
+        names = ["bucket", "kind", "sig", "label", "role", "weight", "left"]
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -178,84 +186,117 @@ def _dealt(docs: DataFrame, plan: Plan, buckets: int, combine: bool) -> DataFram
                 while end < len(texts) and size < 8_000_000:
                     size += len(texts[end] or "")
                     end += 1
-                sigs = [plan.signatures(shingle_set(t)) for t in texts[at:end]]
-                sig = np.concatenate(sigs)
-                label = np.repeat(np.array(labels[at:end], np.int64), [len(s) for s in sigs])
+                part = sorted(zip(labels[at:end], texts[at:end], strict=True), key=lambda p: p[0])
                 at = end
-                if not len(sig):
-                    continue
-                order = np.lexsort((label, sig))
-                sig, label = sig[order], label[order]
-                head = np.concatenate([[True], sig[1:] != sig[:-1]])
-                first = label[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-                met, rows = first != label, []
-                if not combine:
-                    head |= np.concatenate([[True], label[1:] != label[:-1]])
-                elif met.any():
-                    pairs = np.unique(np.stack([label[met], first[met]], 1), axis=0)
-                    rows += [(int(p[0, 0]) % buckets, 1, p[:, 0].tobytes(), p[:, 1].tobytes()) for p in np.array_split(pairs, -(-len(pairs) // 4096))]
-                sig, label = sig[head], label[head]
-                bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-                order = np.lexsort((label, bucket))
-                sig, label, bucket = sig[order], label[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(sig)], strict=True):
-                    low = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rows.append((int(bucket[lo]), 0, low, np.diff(label[lo:hi], prepend=0).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=names)
-
-    return docs.mapInArrow(deal, "bucket long, kind int, sig binary, label binary")
-
-
-def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and labels of a bucket sorted by both, and the pairs met before."""
-    kind = table.column("kind").to_numpy()
-    sig, label = table.column("sig").to_pylist(), table.column("label").to_pylist()
-    low = np.frombuffer(b"".join(s for s, k in zip(sig, kind, strict=True) if not k), np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(low), 8), np.uint8)
-    wide[:, :5] = low
-    steps = [np.cumsum(np.frombuffer(x, np.int64)) for x, k in zip(label, kind, strict=True) if not k]
-    s, d = wide.view(np.uint64)[:, 0], np.concatenate(steps or [np.zeros(0, np.int64)])
-    order = np.lexsort((d, s))
-    met = [np.frombuffer(b"".join(x for x, k in zip(side, kind, strict=True) if k), np.int64) for side in (sig, label)]
-    return s[order], d[order], np.stack(met, 1)
-
-
-def _met(dealt: DataFrame) -> DataFrame:
-    """child, parent: each label with the smallest that shares a signature with it (several, by signature)."""
+                first, copies, docs_, sets = {}, [], [], []
+                for d, t in part:
+                    s = shingle_set(t)
+                    if not len(s):
+                        continue
+                    own = first.setdefault(s.tobytes(), d)
+                    if own != d:
+                        copies.append((d, own))
+                    elif not sets or docs_[-1] != d or len(sets[-1]) != len(s) or (sets[-1] != s).any():
+                        docs_.append(d)
+                        sets.append(s)
+                rows = []
+                if copies:
+                    pairs = np.unique(np.array(copies, np.int64), axis=0)
+                    rows.append((int(pairs[0, 0]) % buckets, 1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b"", b"", b""))
+                if sets:
+                    made = [plan.signatures(s) for s in sets]
+                    sig, role, weight, left = (np.concatenate([m[k] for m in made]) for k in range(4))
+                    doc = np.repeat(np.array(docs_, np.int64), [len(m[0]) for m in made])
+                    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                    low = (sig & np.uint64(2**40 - 1)).astype(np.int64)
+                    role, weight, left = role.astype(np.int8), weight.astype(np.int8), np.clip(left, -1, 32000).astype(np.int16)
+                    _, at_sig, many = np.unique(sig, return_inverse=True, return_counts=True)
+                    common = many[at_sig] > COMMON
+                    for kind, chosen in ((0, ~common), (2, common)):
+                        order = np.flatnonzero(chosen)
+                        order = order[np.lexsort((doc[order], bucket[order]))]
+                        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                        for o in np.split(order, cuts) if len(order) else []:
+                            wide = np.ascontiguousarray(low[o]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                            rows.append((int(bucket[o[0]]), kind, wide, np.diff(doc[o], prepend=0).tobytes(), role[o].tobytes(), weight[o].tobytes(), left[o].tobytes()))
+                            if kind == 2:
+                                rows.append((int(bucket[o[0]]), 3, np.unique(low[o]).tobytes(), b"", b"", b"", b""))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=names)
+
+    return docs.mapInArrow(deal, "bucket long, kind int, sig binary, label binary, role binary, weight binary, left binary")
+
+
+COMMON = 8  # documents; what more of them share is a common signature
+
+
+def _matched(dealt: DataFrame) -> DataFrame:
+    """kind, sig, docs, role, weight, left. Kind 0: two or more documents (sorted) that share a signature which isn't common. Kind 1: copies (two documents).
+    Kind 2: a document (alone) with a common signature."""
 
     def match(key, table):
         import pyarrow as pa
 
-        s, d, pairs = _unpacked(table)
-        if len(s):
-            head = np.concatenate([[True], s[1:] != s[:-1]])
-            first = d[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))]
-            far = first != d
-            pairs = np.concatenate([pairs, np.stack([d[far], first[far]], 1)])
-        pairs = np.unique(pairs, axis=0)
-        return pa.table({"child": pairs[:, 0], "parent": pairs[:, 1]})
-
-    return dealt.groupBy("bucket").applyInArrow(match, "child long, parent long")
+        kind, bucket = table.column("kind").to_numpy(), key[0].as_py()
+        rows = {k: [np.flatnonzero(kind == k)] for k in range(4)}
+        blob = lambda name, k, t: np.frombuffer(b"".join(table.column(name).take(pa.array(rows[k][0])).to_pylist()), t)
+
+        def spread(k):
+            low = blob("sig", k, np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(low), 8), np.uint8)
+            wide[:, :5] = low
+            steps = [np.cumsum(np.frombuffer(x, np.int64)) for x in table.column("label").take(pa.array(rows[k][0])).to_pylist()]
+            return wide.view(np.int64)[:, 0], np.concatenate(steps or [np.zeros(0, np.int64)]), blob("role", k, np.int8), blob("weight", k, np.int8), blob("left", k, np.int16)
+
+        sig, doc, role, weight, left = spread(0)
+        order = np.lexsort((doc, sig))
+        sig, doc, role, weight, left = (x[order] for x in (sig, doc, role, weight, left))
+        known, count = np.unique(sig, return_counts=True)
+        common = np.repeat((count > COMMON) | np.isin(known, blob("sig", 3, np.int64)), count)
+        pairs = np.stack([blob("sig", 1, np.int64), blob("label", 1, np.int64)], 1)
+        cut = np.concatenate([[0], np.cumsum(count)])
+        groups = {tuple(np.unique(doc[cut[k] : cut[k + 1]]).tolist()) for k in np.flatnonzero((count > 1) & ~common[cut[:-1]])} if len(count) else set()
+        out = [(0, 0, list(g), 0, 0, 0) for g in groups if len(g) > 1]
+        out += [(1, 0, sorted(p), 0, 0, 0) for p in pairs.tolist()]
+        for s, d, r, w, x in ((sig[common], doc[common], role[common], weight[common], left[common]), spread(2)):
+            out += zip([2] * len(s), ((bucket << 40) | s).tolist(), [[v] for v in d.tolist()], r.tolist(), w.tolist(), x.tolist(), strict=True)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "sig", "docs", "role", "weight", "left"])
+
+    return dealt.groupBy("bucket").applyInArrow(match, "kind int, sig long, docs array<bigint>, role int, weight int, left int")
+
+
+def _groups(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, common): groups(docs), sorted documents that meet in a signature that isn't common; common(sig, doc), memberships that must count.
+
+    A pair that is similar meets in weights above what thin segments and common signatures can cost a document that has loss left for all of its own; so common
+    signatures only matter between documents that lose more than they may.
+    """
+    groups = matched.where("kind < 2").select("docs").distinct()
+    single = matched.where("kind = 2").select("sig", F.get("docs", 0).alias("doc"), "role", "weight", "left")
+    lost = single.groupBy("doc", "role").agg(F.sum("weight").alias("lost"), F.max("left").alias("left")).where("lost > left").select("doc").distinct()
+    return saved(groups, "groups"), saved(single.join(lost, "doc", "left_semi").select("sig", "doc").distinct(), "common")
 
 
-def _all_met(dealt: DataFrame) -> DataFrame:
-    """a < b: all pairs of classes that share a signature (labels are classes here)."""
+def _shared_sizes(common: DataFrame, known: DataFrame) -> DataFrame:
+    """doc, n, e for documents in common: the size, and how many tokens another of them has too. No pair of them shares more than the smaller e, so
+    copies that were edited too much to be similar to any other are told without a comparison."""
 
-    def match(key, table):
+    def tokens(batches):
         import pyarrow as pa
 
-        s, d, _ = _unpacked(table)
-        found = set()
-        cuts = np.flatnonzero(np.diff(s)) + 1
-        for part in np.split(d, cuts) if len(s) else []:
-            part = np.unique(part)
-            if len(part) > 1:
-                found.update((int(part[i]), int(y)) for i in range(len(part)) for y in part[i + 1 :])
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        for batch in batches:
+            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "tokens"])
 
-    return dealt.groupBy("bucket").applyInArrow(match, "a long, b long")
+    asked = common.select("doc").distinct()
+    sets = known.join(asked, known.doc_id == asked.doc, "left_semi").select("doc_id", "text").mapInArrow(tokens, "doc long, tokens array<bigint>")
+    sets = saved(sets, "common-sets")
+    once = sets.select("doc", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
+    alone = once.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
+    sizes = sets.groupBy("doc").agg(F.max(F.size("tokens")).alias("n"), F.min(F.size("tokens")).alias("least"))
+    return saved(sizes.join(alone, "doc", "left").select("doc", F.col("least").alias("n"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("e")), "shared-sizes")
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -332,24 +373,33 @@ def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
     known = docs.where("doc_id is not null")
 
     # First: each document with the smallest of each signature it has.
-    met = saved(_met(_dealt(known, plan, buckets, True)).distinct(), "met")
+    groups, common = _groups(saved(_matched(_dealt(known, plan, buckets)), "matched"))
+    shared = _shared_sizes(common, known)
+    common = saved(common.join(shared.where(f"100 * e >= {PERCENT} * n"), "doc", "left_semi"), "common-left")
+    star = groups.select(F.explode("docs").alias("child"), F.get("docs", 0).alias("parent"), F.lit(0).cast("long").alias("weight"))
+    # Of a common signature the document with most of them is the middle: edited copies are nearer to it than to each other.
+    weight = common.groupBy("doc").agg(F.count("*").alias("weight"))
+    middle = common.join(weight, "doc").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc"))).alias("m"))
+    star = star.union(common.join(middle, "sig").select(F.col("doc").alias("child"), (-F.col("m.doc")).alias("parent"), F.col("m.weight").alias("weight"))).where("child <> parent")
+    met = saved(star.groupBy("child", "parent").agg(F.max("weight").alias("weight")), "met")
     in_pairs = met.select(F.col("child").alias("doc")).union(met.select("parent")).distinct()
     in_pairs = saved(in_pairs, "in-pairs")
     texts = saved(known.join(in_pairs, known.doc_id == in_pairs.doc, "left_semi"), "texts")
     labels = saved(in_pairs.select("doc", F.col("doc").alias("comp")), "labels")
     prints = saved(sizes.join(in_pairs, sizes.doc_id == in_pairs.doc, "left_semi").selectExpr("doc_id doc", "n", "h1", "h2"), "prints")
     two = met.join(prints.selectExpr("doc child", "n na", "h1 a1", "h2 a2"), "child").join(prints.selectExpr("doc parent", "n nb", "h1 b1", "h2 b2"), "parent")
-    two = saved(two.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("child", "parent", F.expr("na = nb and a1 = b1 and a2 = b2").alias("same")), "met-sized")
+    two = saved(two.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("child", "parent", "weight", F.expr("na = nb and a1 = b1 and a2 = b2").alias("same")), "met-sized")
     labels = _merged(labels, two.where("same").selectExpr("child a", "parent b"), "same")
-    left = two.where("not same").select("child", "parent").distinct()
+    left = two.where("not same").groupBy("child", "parent").agg(F.max("weight").alias("weight"))
     tried = None
     for r in range(rounds):
         open_ = _across(left, labels)
         if tried is not None:
             open_ = open_.join(tried, ["child", "parent"], "left_anti")
         if r < rounds - 1:
-            # One pair a document: with the smallest document of another class. Others often settle themselves.
-            open_ = open_.groupBy("child").agg(F.min("parent").alias("parent"))
+            # One pair a document: with the best middle, or else the smallest document, of another class. Others often settle themselves.
+            best = F.max(F.struct("weight", (-F.col("parent")).alias("parent"))).alias("m")
+            open_ = open_.groupBy("child").agg(best).select("child", (-F.col("m.parent")).alias("parent"))
         open_ = saved(open_.selectExpr("child a", "parent b"), f"pairs-{r}")
         if not open_.limit(1).count():
             break
@@ -357,12 +407,36 @@ def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
         labels = _merged(labels, _linked(measured).select("a", "b"), f"links-{r}")
         done = open_.selectExpr("a child", "b parent")
         tried = saved(done if tried is None else tried.union(done), f"tried-{r}")
-    labels = _settled(met, left, labels, texts, plan, buckets)
+    labels = _settled(met, groups, common, shared, prints, labels, texts, tried)
     out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(labels.selectExpr("doc __doc", "comp __comp"), F.col("doc_id") == F.col("__doc"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("__comp", "doc_id").alias("component_id"))
 
 
-def _settled(met: DataFrame, left: DataFrame, labels: DataFrame, texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
+def _class_pairs(groups: DataFrame, common: DataFrame, shared: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+    """a < b: pairs of open classes that meet in a signature and whose sizes leave a link possible. A group has at most COMMON documents.
+
+    low and high: sizes of a class' documents; e: the most tokens that one of them shares with any other of the common ones (its size, elsewhere).
+    """
+    own = members.join(sizes, "doc").groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    seen = members.join(shared, "doc").groupBy("comp").agg(F.max("e").alias("e"))
+    item = F.struct("comp", "low", "high", "e")
+    g = groups.select(F.xxhash64("docs").alias("g"), F.explode("docs").alias("doc")).join(members, "doc").select("g", "comp").distinct()
+    g = g.join(own, "comp").withColumn("e", F.col("high")).groupBy("g").agg(F.array_sort(F.collect_set(item)).alias("comps"))
+    c = common.join(members, "doc").select("sig", "comp").distinct()
+    c = c.join(own, "comp").join(seen, "comp").groupBy("sig").agg(F.array_sort(F.collect_set(item)).alias("comps"))
+    both = g.select("comps").union(c.select("comps")).where("size(comps) > 1").distinct()
+    first = both.select("comps", F.posexplode("comps").alias("i", "a"))
+
+    def possible(b):
+        a = F.col("a")
+        most = F.least(a["e"], b["e"])
+        return (100 * a["high"] >= PERCENT * b["low"]) & (100 * b["high"] >= PERCENT * a["low"]) & (100 * most >= PERCENT * (a["low"] + b["low"] - most))
+
+    rest = F.filter(F.slice("comps", F.col("i") + 2, F.size("comps")), possible)
+    return first.select("a", F.explode(rest).alias("b")).select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b")).distinct()
+
+
+def _settled(met: DataFrame, groups: DataFrame, common: DataFrame, shared: DataFrame, prints: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame | None) -> DataFrame:
     """Labels after all pairs of classes that share a signature are settled."""
     apart = _across(met, labels)
     open_classes = saved(apart.select(F.col("ca").alias("comp")).union(apart.select("cb")).distinct(), "open-classes")
@@ -370,11 +444,15 @@ def _settled(met: DataFrame, left: DataFrame, labels: DataFrame, texts: DataFram
         return labels
     members = saved(labels.join(open_classes, "comp", "left_semi"), "members")
     counts = members.groupBy("comp").agg(F.count("*").alias("n"))
-    labelled = members.join(texts, members.doc == texts.doc_id).select(F.col("comp").alias("label"), "text")
-    pairs = saved(_all_met(_dealt(labelled, plan, buckets, False)).distinct(), "class-pairs")
+    sizes = prints.where("n > 0").groupBy("doc").agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    sizes = sizes.select("doc", "n").union(sizes.select("doc", "most"))
+    pairs = saved(_class_pairs(groups, common, shared, sizes, members), "class-pairs")
     # A class' representative is its smallest document, whose id names it.
     size = counts.select("comp", "n")
     pairs = pairs.join(size.selectExpr("comp a", "n ma"), "a").join(size.selectExpr("comp b", "n mb"), "b")
+    if tried is not None:  # single documents that were compared already
+        done = tried.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")).withColumn("done", F.lit(True))
+        pairs = pairs.join(done.distinct(), ["a", "b"], "left").where("done is null or ma > 1 or mb > 1").drop("done")
     pairs = saved(pairs, "class-pairs-sized")
     if not pairs.limit(1).count():
         return labels
