@@ -436,6 +436,17 @@ def _class_pairs(groups: DataFrame, common: DataFrame, shared: DataFrame, sizes:
     return first.select("a", F.explode(rest).alias("b")).select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b")).distinct()
 
 
+# Whether a document (n to high shingles, e of them shared) may be linked with one of a class (low, most, ce): by sizes, and by what both can share.
+_COUNTED = "CASE WHEN counted AND all_counted THEN least(e, ce) ELSE least(high, most) END"
+_MAY_LINK = f"100 * high >= {PERCENT} * low AND 100 * most >= {PERCENT} * n AND 100 * ({_COUNTED}) >= {PERCENT} * (n + low - ({_COUNTED}))"
+
+
+def _document_sizes(members: DataFrame, prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc, n, high (least and greatest size of its texts), e, counted: e holds against documents that are counted too."""
+    own = prints.join(members.select("doc"), "doc", "left_semi").where("n > 0").groupBy("doc").agg(F.min("n").alias("n"), F.max("n").alias("high"))
+    return own.join(shared.select("doc", "e"), "doc", "left").select("doc", "n", "high", F.coalesce("e", "high").alias("e"), F.col("e").isNotNull().alias("counted"))
+
+
 def _settled(met: DataFrame, groups: DataFrame, common: DataFrame, shared: DataFrame, prints: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame | None) -> DataFrame:
     """Labels after all pairs of classes that share a signature are settled."""
     apart = _across(met, labels)
@@ -470,8 +481,11 @@ def _settled(met: DataFrame, groups: DataFrame, common: DataFrame, shared: DataF
         close = saved(far.where(f"d <= {limit} + coalesce(ra, 0) + coalesce(rb, 0)"), "classes-close")
         if close.limit(1).count():
             # Members of one class whose distance from the other's representative allows a link at all.
-            one = members.selectExpr("doc x", "comp a").join(close.selectExpr("a", "b", "rb r"), "a").selectExpr("x a", "b", "a ca", "r")
-            two = members.selectExpr("doc x", "comp b").join(close.selectExpr("b", "a", "ra r"), "b").selectExpr("x a", "a b", "b ca", "r")
+            fit = _document_sizes(members, prints, shared)
+            of_class = fit.join(members, "doc").groupBy("comp").agg(F.min("n").alias("low"), F.max("high").alias("most"), F.max("e").alias("ce"), F.min("counted").alias("all_counted"))
+            side = fit.selectExpr("doc x", "n", "high", "e", "counted")
+            one = members.selectExpr("doc x", "comp a").join(close.selectExpr("a", "b", "rb r"), "a").join(side, "x").join(of_class.withColumnRenamed("comp", "b"), "b").where(_MAY_LINK).selectExpr("x a", "b", "a ca", "r")
+            two = members.selectExpr("doc x", "comp b").join(close.selectExpr("b", "a", "ra r"), "b").join(side, "x").join(of_class.withColumnRenamed("comp", "a"), "a").where(_MAY_LINK).selectExpr("x a", "a b", "b ca", "r")
             both = saved(one.union(two), "to-representatives")
             to_rep = saved(_measured(both.select("a", "b").distinct(), texts, "reps"), "reps-measured").selectExpr("a", "b", f"{DISTANCE} d")
             allowed = saved(both.join(to_rep, ["a", "b"]).where(f"d <= {limit} + coalesce(r, 0)").groupBy("a", "b", "ca").agg(F.min("d").alias("d"), F.max("d").alias("dmax")), "allowed")
