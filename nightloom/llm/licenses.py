@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-Templates are short runs of licence words. A corpus pass finds in how many files each template word occurs; a file
-is looked up by its highest-IDF template words only. Where several of them stand at the same relative
-position as in a template (template start = place in the file - place in the template), the template is held against
-the file there, word by word; a label needs enough of its words and every mandatory key phrase. Everything after
-the corpus pass is local to a row: no shuffle, no Python.
+Templates are short runs of licence words. A corpus pass finds in how many files each template word occurs; a template
+is looked up by its own highest-IDF words, however frequent they are. Each place of the rarest word of its key phrase gives
+a start (place in the file - place in the template); where enough of the looked-up words stand at the same relative
+position as in the template, it is held against the file there, word by word; a label needs enough of its words and the
+mandatory key phrase. As that phrase must stand, no match is missed. Everything after the corpus pass is local to a row: no
+shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -47,15 +48,18 @@ def _run_at(start, words: list[str]):
     return [F.coalesce(F.get(F.col("w"), F.greatest(start + i, F.lit(-1))) == F.lit(w), F.lit(False)) for i, w in enumerate(words)]
 
 
-def _starts(word: str, place: int):
-    """Where a template would begin, for each place of a looked-up word that has this place in it."""
-    return F.transform(F.filter("sought", lambda h: h["w"] == word), lambda h: h["i"] - F.lit(place))
+def _place(words: list[str], needed: list[str]) -> int:
+    """Where the key phrase begins in a template."""
+    return next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
 
 
-def _best_share(postings: list[tuple[str, int]], words: list[str], needed: list[str], agree: int):
-    """The best share of a template's words in place, over starts that enough looked-up words agree on and whose key phrase stands; else null."""
-    starts = F.concat(*[_starts(w, i) for w, i in postings])
-    at = next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
+def _best_share(anchor: int, places: list[int], words: list[str], needed: list[str], agree: int):
+    """The best share of a template's words in place, over starts that enough looked-up words agree on and whose key phrase stands; else null.
+
+    anchor: place in the template of the word whose hits give the starts. places: those of the looked-up words.
+    """
+    starts = F.transform(F.filter("hits", lambda h: h["w"] == words[anchor]), lambda h: h["i"] - F.lit(anchor))
+    at = _place(words, needed)
 
     def total(flags):
         out = F.lit(0)
@@ -69,10 +73,12 @@ def _best_share(postings: list[tuple[str, int]], words: list[str], needed: list[
             out = out & x
         return out
 
-    pair = F.struct(starts.alias("all"))
-    ready = F.transform(F.array(pair), lambda p: F.filter(F.array_distinct(p["all"]), lambda s: F.size(F.filter(p["all"], lambda x: x == s)) >= agree))
-    shares = F.transform(F.filter(F.flatten(ready), verified), lambda s: total(_run_at(s, words)) / F.lit(float(len(words))))
-    return F.when(F.size("sought") > 0, F.array_max(shares))
+    def agreed(s):
+        return total([x for i, x in enumerate(_run_at(s, words)) if i in places]) >= agree
+
+    ready = F.filter(F.filter(starts, verified), agreed)
+    shares = F.transform(ready, lambda s: total(_run_at(s, words)) / F.lit(float(len(words))))
+    return F.when(F.size("hits") > 0, F.array_max(shares))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
@@ -83,20 +89,24 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
     return rows.pop("", 0), rows
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: float = 0.1, top: int = 6, votes: int = 2, cover: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 6, votes: int = 2, cover: float = 0.8) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    rare: template words in more than this share of files are not looked up. top: how many words of a file are.
-    votes: how many places must agree on a template's start (one suffices if the template has a single rare word).
+    top: how many words of each template are looked up. votes: how many of their places must agree on a template's
+    start (fewer, where cover lets so many of them be missing, so that nothing that cover admits is lost).
     cover: least share of template words that must stand in place; score is the best share of a verified template,
     and at least 0.5 where a base phrase stands. Null and empty texts have no words, no labels, empty strings and score 0.
     Repeated rows are each scanned; other columns are not carried. An empty table gives an empty one.
     """
     n, df = document_frequencies(docs, text)
-    idf = {w: math.log((n + 1) / (c + 1)) for w, c in df.items()}
-    ranked = sorted((w for w in idf if df[w] <= max(1, rare * n)), key=lambda w: (-idf[w], w))
+    rarity = lambda w: (-math.log((n + 1) / (df.get(w, 0) + 1)), w)
+    looked = []  # of each template: place of the rarest word of its key phrase, places of its looked-up words
+    for _, template, phrase in TEMPLATES:
+        words, needed = template.split(), phrase.split()
+        chosen = sorted(set(words), key=rarity)[:top]
+        looked.append((_place(words, needed) + needed.index(min(needed, key=rarity)), [i for i, w in enumerate(words) if w in chosen]))
     d = docs.select(F.col(key).alias("k"), _words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
-    watched = sorted({p.split()[0] for p in BASE} | set(ranked))
+    watched = sorted({p.split()[0] for p in BASE} | {t.split()[anchor] for (_, t, _), (anchor, _) in zip(TEMPLATES, looked, strict=True)})
     hits = F.filter(F.transform("w", lambda w, i: F.when(w.isin(watched), F.struct(w.alias("w"), i.cast("int").alias("i")))), lambda h: h.isNotNull())
     d = d.withColumn("hits", F.when(F.arrays_overlap("w", _texts(watched)), hits).otherwise(F.slice(hits, 1, 0)))
 
@@ -113,18 +123,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rare
     d = d.withColumn("places", F.concat(*[f"b{j}" for j in range(len(base))]))
     d = d.withColumn("base", F.filter(F.array(*[F.when(F.size(f"b{j}") > 0, F.lit(label)) for j, label in enumerate(base)]), lambda x: x.isNotNull()))
 
-    d = d.withColumn("look", F.slice(F.filter(_texts(ranked), lambda v: F.exists("hits", lambda h: h["w"] == v)), 1, top) if ranked else F.array().cast("array<string>"))
-    d = d.withColumn("sought", F.filter("hits", lambda h: F.array_contains("look", h["w"])))
     found, proven = [], []
     for j, (label, template, phrase) in enumerate(TEMPLATES):
         words, needed = template.split(), phrase.split()
-        postings = [(w, i) for i, w in enumerate(words) if w in ranked]
-        if not postings:
-            continue
-        d = d.withColumn(f"s{j}", _best_share(postings, words, needed, min(votes, len(postings))))
+        anchor, places = looked[j]
+        missing = len(words) - math.ceil(cover * len(words))
+        d = d.withColumn(f"s{j}", _best_share(anchor, places, words, needed, min(votes, len(places) - missing)))
         found.append(F.when(F.col(f"s{j}") >= cover, F.lit(label)))
         proven.append(F.when(F.col(f"s{j}") >= cover, F.col(f"s{j}")).otherwise(0.0))
-    found = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    found = F.filter(F.array(*found), lambda x: x.isNotNull())
     labels = F.array_sort(F.array_union("base", found))
     return d.select(
         F.col("k").alias(key),
