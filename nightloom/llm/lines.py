@@ -1,10 +1,9 @@
 """Line dedup: cross-site boilerplate by distinct-site spread.
 
 A line (spaces at its ends aside) is known by a 64-bit hash. For every hash that occurs often enough, HyperLogLog sketches of the
-sites it stands on, of the texts it stands in and of its contexts (the lines before and after) are built per task and merged by
-aggregation. Where an estimate is near its threshold, exact distinct counts decide. A line is boilerplate if it
-stands on min_sites sites or more, and in as many contexts, half as many as there are texts with it at least: copies of a whole document repeat
-their lines in the same context and are left to document dedup.
+sites it stands on and of the texts it stands in are built per task and merged by aggregation. Where an estimate is near the
+threshold, exact distinct counts decide. A line is boilerplate if it stands on min_sites sites or more, in as many different
+texts: exact copies of a whole document are one text and are left to document dedup.
 """
 
 from __future__ import annotations
@@ -22,51 +21,47 @@ def _lines(text):
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc, site, body, line, context: a row for each line that isn't blank; doc and body are hashes."""
+    """doc, site, body, line: a row for each line that isn't blank; doc, body and line are hashes."""
     d = docs.select(
         F.xxhash64("doc_id", "text").alias("doc"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"),
         F.coalesce("source", F.lit("")).alias("site"),
-        F.transform(_lines(F.col("text")), lambda x: F.trim(x)).alias("all"),
+        F.explode(F.transform(_lines(F.col("text")), lambda x: F.trim(x))).alias("line"),
     )
-    d = d.select("doc", "body", "site", F.transform("all", lambda x: F.when(x != "", F.xxhash64(x))).alias("all"))
-    d = d.select("doc", "body", "site", "all", F.posexplode("all").alias("at", "line")).where("line is not null")
-    near = F.xxhash64(F.coalesce(F.get("all", F.col("at") - 1), F.lit(0)), F.coalesce(F.get("all", F.col("at") + 1), F.lit(0)))
-    return d.select("doc", "body", "site", "line", near.alias("context"))
+    return d.where("line <> ''").withColumn("line", F.xxhash64("line"))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = 10, context_share: float = 0.5) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """line: hashes of boilerplate lines."""
     seen = _occurrences(docs)
     # A line on min_sites sites occurs that often at least.
     often = seen.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
     some = seen.join(often, "line", "left_semi")
     # Sketches of shares of a line's occurrences, then their union: a line that a third of all documents have is many shares.
-    shares = some.groupBy("line", F.pmod("body", F.lit(SHARES)).alias("share")).agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in ("site", "body", "context")])
-    sketched = shares.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(n) for c, n in (("site", "sites"), ("body", "texts"), ("context", "contexts"))])
-    around = lambda x, limit: F.abs(x - limit) <= F.greatest(F.lit(1.0), limit * NEAR)
-    needed = F.greatest(F.lit(float(min_sites)), F.col("texts") * context_share)
-    wide = (F.col("sites") >= min_sites) & (F.col("contexts") >= needed)
-    unsure = around(F.col("sites"), F.lit(min_sites)) | around(F.col("contexts"), needed)
-    hopeless = (F.col("sites") < min_sites * (1 - NEAR) - 1) | (F.col("contexts") < needed * (1 - NEAR) - 1)
+    shares = some.groupBy("line", F.pmod("body", F.lit(SHARES)).alias("share")).agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in ("site", "body")])
+    sketched = shares.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(n) for c, n in (("site", "sites"), ("body", "texts"))])
+    around = lambda x: F.abs(x - min_sites) <= max(1.0, min_sites * NEAR)
+    wide = (F.col("sites") >= min_sites) & (F.col("texts") >= min_sites)
+    unsure = around(F.col("sites")) | around(F.col("texts"))
+    hopeless = F.least("sites", "texts") < min_sites * (1 - NEAR) - 1
     clear = sketched.where(wide & ~unsure).select("line")
     doubt = sketched.where(unsure & ~hopeless).select("line")
     exact = (
         some.join(doubt, "line", "left_semi")
         .groupBy("line")
-        .agg(F.count_distinct("site").alias("sites"), F.count_distinct("body").alias("texts"), F.count_distinct("context").alias("contexts"))
+        .agg(F.count_distinct("site").alias("sites"), F.count_distinct("body").alias("texts"))
     )
     return clear.union(exact.where(wide).select("line"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 10, context_share: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """docs with boilerplate lines cut out of text; adds n_lines and n_removed. Every row stays, in whatever it has left.
 
     docs has doc_id, text and source (the site); other columns are kept as they are. Null text stays null, with
     0 lines; blank lines are neither counted nor removed. A null source is a site of its own. Repeated rows count
     once as texts, and each loses the same lines. An empty table gives an empty one.
     """
-    bad = boilerplate_lines(docs, min_sites, context_share)
+    bad = boilerplate_lines(docs, min_sites)
     cut = _occurrences(docs).select("doc", "line").join(bad, "line", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("__bad"))
     d = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
     d = d.join(cut.withColumnRenamed("doc", "__cut"), F.col("__doc") == F.col("__cut"), "left")
