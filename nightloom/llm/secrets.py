@@ -1,8 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of 16 or more token characters with a digit. Its features: length, transitions between
-character classes and within letters, entropy, how much of it dictionary words cover, whether its path (here the
-source) and the words beside it speak of keys, of tests or of other data. A random forest trained on labelled findings scores it.
+A candidate is a run of 16 or more token characters with a digit; a word (minified text is one) may hold many. Its features:
+length, transitions between character classes and within letters, entropy, how much of it dictionary words cover, whether
+its path (here the source) and what stands beside it speak of keys, of tests or of other data: the words beside, and inside
+a word with several runs the text up to the runs beside. A random forest trained on labelled findings scores it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ SHAPE = r"[A-Za-z0-9+/_=-]{16,}"
 KEY_WORDS = ["token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "credential", "bearer"]
 TEST_WORDS = ["test", "example", "sample", "dummy", "fake", "mock", "placeholder", "hash", "checksum", "commit", "sha"]
 
+BESIDE = 40  # characters of a word that count as beside a run inside it
+
 # Common words for dictionary coverage.
 DICTIONARY = ["the", "and", "ing", "tion", "that", "with", "for", "this", "from", "are", "was", "have", "not", "name", "user", "data", "file", "path", "page", "html", "http", "www", "com", "mail", "example", "test", "version", "value", "index", "image", "content", "string", "number", "default", "license", "token", "secret", "password", "key"]
 
@@ -23,14 +26,31 @@ FEATURES = ["length", "class_changes", "letter_runs", "distinct_share", "entropy
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, word (place among white-space words, from 0), candidate, and FEATURES."""
+    """doc_id, word (place among white-space words, from 0), run (place among the word's runs of SHAPE, from 0), candidate, and FEATURES."""
     words = F.split(F.coalesce("text", F.lit("")), r"\s+", -1)
     d = docs.select("doc_id", F.lower(F.coalesce(F.col(path).cast("string"), F.lit(""))).alias("path"), words.alias("w"))
-    like = F.filter(F.transform("w", lambda w, i: F.when(F.length(w) >= 16, F.struct(i.cast("long").alias("i"), F.regexp_extract(w, SHAPE, 0).alias("c"), w.alias("w")))), lambda x: x.isNotNull())
-    d = d.select("doc_id", "path", "w", F.explode(F.filter(like, lambda x: x["c"].rlike("[0-9]"))).alias("x"))
-    before = lambda n: F.lower(F.coalesce(F.get("w", (F.col("x.i") - n).cast("int")), F.lit("")))
-    after = F.lower(F.coalesce(F.get("w", (F.col("x.i") + 1).cast("int")), F.lit("")))
-    d = d.select("doc_id", F.col("x.i").alias("word"), F.col("x.c").alias("candidate"), "path", F.col("x.w").alias("whole"), before(1).alias("b1"), before(2).alias("b2"), after.alias("a1"))
+    # Runs and the gaps before, between and after them, once for each word.
+    long = F.transform("w", lambda w, i: F.when(F.length(w) >= 16, F.struct(i.alias("i"), F.regexp_extract_all(w, F.lit(SHAPE), F.lit(0)).alias("runs"), F.split(w, SHAPE, -1).alias("gaps"))))
+    long = F.filter(long, lambda x: F.exists(x["runs"], lambda c: c.rlike("[0-9]")))
+
+    def run(x, c, k):
+        word = lambda n: F.lower(F.coalesce(F.get("w", x["i"] + n), F.lit("")))
+        left = F.concat(F.coalesce(F.get(x["runs"], k - 1), F.lit("")), F.get(x["gaps"], k))
+        right = F.get(x["gaps"], k + 1)
+        inner, last = k > 0, k + 1 == F.size(x["runs"])
+        return F.struct(
+            x["i"].cast("long").alias("word"),
+            k.alias("run"),
+            c.alias("candidate"),
+            F.concat(left, c, right).alias("whole"),
+            F.when(inner, F.lower(F.substring(left, -BESIDE, BESIDE))).otherwise(word(-1)).alias("b1"),
+            F.when(inner, F.lit("")).otherwise(word(-2)).alias("b2"),
+            F.when(last, word(1)).otherwise(F.lower(F.substring(right, 1, BESIDE))).alias("a1"),
+            inner.alias("inner"),
+        )
+
+    runs = F.flatten(F.transform(long, lambda x: F.filter(F.transform(x["runs"], lambda c, k: run(x, c, k)), lambda r: r["candidate"].rlike("[0-9]"))))
+    d = d.select("doc_id", "path", F.explode(runs).alias("x")).select("doc_id", "path", "x.*")
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     kinds = F.translate(F.translate(F.translate(c, "abcdefghijklmnopqrstuvwxyz", "a" * 26), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26), "0123456789", "0" * 10)
     changes = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(kinds, "a+", "a"), "A+", "A"), "0+", "0")) - 1
@@ -45,6 +65,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return d.select(
         "doc_id",
         "word",
+        "run",
         "candidate",
         n.alias("length"),
         (changes / n).alias("class_changes"),
@@ -59,7 +80,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         has(F.col("path"), TEST_WORDS).alias("test_path"),
         has(F.concat_ws(" ", "b2", "b1"), KEY_WORDS).alias("key_before"),
         has(F.concat_ws(" ", beside, "whole"), KEY_WORDS).alias("key_near"),
-        F.when(F.col("b1").rlike("[=:]") | F.col("whole").rlike("^[^=:]*[A-Za-z_]['\"]?[=:]"), 1.0).otherwise(0.0).alias("assigned"),
+        F.when(F.when(F.col("inner"), F.col("b1").rlike("[=:]['\"]?$")).otherwise(F.col("b1").rlike("[=:]") | F.col("whole").rlike("^[^=:]*[A-Za-z_]['\"]?[=:]")), 1.0).otherwise(0.0).alias("assigned"),
         F.when(F.col("whole").rlike("['\"]"), 1.0).otherwise(0.0).alias("quoted"),
         has(beside, TEST_WORDS).alias("test_near"),
     )
@@ -90,7 +111,7 @@ def train_forest(labelled: DataFrame, most: int = 4000, trees: int = 20, depth:
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", threshold: float = 0.5) -> DataFrame:
-    """doc_id, word, candidate, length, entropy, score, is_secret: a row for each candidate of each row of docs.
+    """doc_id, word, run, candidate, length, entropy, score, is_secret: a row for each candidate of each row of docs.
 
     labelled: findings with FEATURES and label (1 secret, 0 not); without them the rule above labels a part of the
     corpus' own. Without both labels the score is the share of key_before, assigned and entropy signs.
@@ -105,4 +126,4 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str =
         scored = found.withColumn("score", (F.col("key_before") + F.col("assigned") + F.least(F.col("entropy") / 4, F.lit(1.0))) / 3)
     else:
         scored = model.transform(found).withColumn("score", F.get(vector_to_array("probability"), 1))
-    return scored.select("doc_id", "word", "candidate", F.col("length").cast("int").alias("length"), "entropy", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "word", "run", "candidate", F.col("length").cast("int").alias("length"), "entropy", "score", (F.col("score") >= threshold).alias("is_secret"))
