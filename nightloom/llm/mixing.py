@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is target share / present share. Each document draws its count by inverting
 the Poisson distribution of that mean at a uniform number hashed from seed and doc_id, is exploded by the
-count and shuffled globally by a second hash.
+count and shuffled globally by a second hash. A large mean is split into several draws of bounded mean, as sums of Poisson
+numbers are Poisson.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def hash_unit(*parts):
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
-def source_rates(docs: DataFrame, targets: dict[str, float] | None, size: float, highest: float) -> DataFrame:
+def source_rates(docs: DataFrame, targets: dict[str, float] | None, size: float) -> DataFrame:
     """source, rate: mean repetitions. Null sources are one source of their own."""
     # Partial counts by source, then a total over the few sources: a hot source costs a row a task.
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
@@ -25,7 +26,7 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None, size: float,
         weight = 1.0 / F.col("sources")
     else:
         weight = F.coalesce(*[F.when(F.col("source") == F.lit(s), F.lit(float(w))) for s, w in targets.items()], F.lit(0.0)) / float(sum(targets.values()))
-    rate = F.least(F.lit(float(highest)), weight * F.col("total") * F.lit(float(size)) / F.col("n"))
+    rate = weight * F.col("total") * F.lit(float(size)) / F.col("n")
     return sizes.join(F.broadcast(total)).select("source", rate.alias("rate"))  # total is one row
 
 
@@ -42,22 +43,32 @@ def poisson_cdf(rate, highest: float):
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = 7, size: float = 1.0, highest: float = 20.0, shuffle: bool = True) -> DataFrame:
-    """Rows of docs repeated by Poisson draws so that sources reach their target shares; adds copy (from 0) and mix_key.
+    """Rows of docs repeated by Poisson draws so that sources reach their target shares; adds copy and mix_key.
 
     targets: weights by source (None: equal); sources not named get 0. size: expected rows out / rows in.
-    highest: no mean above it, so a tiny source is not repeated without end (stated, as targets are then missed).
+    highest: greatest mean of one draw; a document of a source with a greater one has several. copy counts from 0 within a
+    draw, and each further draw begins at a fixed number of its own, so a document's copies have different numbers.
     Null source: a source of its own (targets cannot name it). Null doc_id hashes as 'null'; repeated rows draw
     alike. Null or empty texts count like others. Rows come in the order of mix_key within range partitions, ties by doc_id and copy.
     """
     names = docs.columns
-    rates = source_rates(docs.select("source"), targets, size, highest)
-    rates = rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate"), highest).alias("__cdf"))
+    rates = source_rates(docs.select("source"), targets, size)
+    # Draws of mean highest, and one of the rest (not 0 unless the rate is).
+    whole = F.greatest(F.ceil(F.col("rate") / F.lit(float(highest))) - 1, F.lit(0))
+    rates = rates.select(F.col("source").alias("__source"), "rate", whole.cast("long").alias("__whole"))
+    full = F.when(F.col("__whole") > 0, poisson_cdf(F.lit(float(highest)), highest))
+    rates = rates.select("__source", "__whole", full.alias("__full"), poisson_cdf(F.col("rate") - F.col("__whole") * F.lit(float(highest)), highest).alias("__cdf"))
     d = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
+    # Most documents have one draw; the others become a row for each.
+    d = d.withColumn("__draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole"))))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # Inversion: as many repetitions as values of the distribution function that the uniform number reaches.
-    draw = F.array(hash_unit(F.lit(f"count{seed}"), ident))
-    d = d.withColumn("__n", F.get(F.transform(draw, lambda u: F.size(F.filter("__cdf", lambda c: c <= u))), 0)).where("__n > 0")
+    first = F.col("__draw") == 0
+    draw = F.array(hash_unit(F.lit(f"count{seed}"), ident, F.when(~first, F.col("__draw").cast("string"))))
+    d = d.withColumn("__n", F.get(F.transform(draw, lambda u: F.size(F.filter(F.when(first, F.col("__cdf")).otherwise(F.col("__full")), lambda c: c <= u))), 0)).where("__n > 0")
+    # No draw has more than the values that a distribution function lists.
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    d = d.withColumn("copy", (F.col("__draw") * F.size("__cdf") + F.col("copy")).cast("int"))
     d = d.withColumn("mix_key", hash_unit(F.lit(f"order{seed}"), ident, F.col("copy").cast("string")))
     d = d.select(*names, "copy", "mix_key")
     return d.orderBy("mix_key", "doc_id", "copy") if shuffle else d
