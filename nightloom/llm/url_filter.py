@@ -55,28 +55,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name: str) -> DataFrame:
-    """Personalised PageRank from seeds(host): (host, score). Mass at hosts without outgoing edges goes back to the seeds.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, name: str) -> DataFrame:
+    """Personalised PageRank of each kind over edges(kind, src, dst) from seeds(kind, host): (kind, host, score). Mass at hosts without outgoing edges goes back to the seeds.
 
-    Scores are rounded to 12 places each round, so the order of sums cannot show.
+    Rounds go on until no score rises by more than its tolerance-th part in four of them, so every host that a seed reaches
+    has one. Scores add up from below; mass lost meanwhile at hosts without outgoing edges would start from the seeds
+    again, which multiplies every score of a kind by the same number: one division by the total at the end gives it back.
+    Scores are rounded to 6 significant digits then, so the order of sums cannot show.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    out = saved(edges.join(degree, "src"), f"{name}-edges")
-    start = saved(seeds.select("host").distinct(), f"{name}-seeds")
-    n = start.count()
-    if not n:
-        return start.select("host", F.lit(0.0).alias("score"))
-    base = start.select("host", F.lit(1.0 / n).alias("base"))
-    rank = base.select("host", F.col("base").alias("score"))
-    for k in range(rounds):
-        moved = out.join(rank, out.src == rank.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        rank = base.join(moved, "host", "full").select("host", F.round(F.coalesce("base", F.lit(0.0)) * F.lit(1 - damping) + F.coalesce("got", F.lit(0.0)) * F.lit(damping), 12).alias("score"))
-        if k % 4 == 3:
-            rank = saved(rank, f"{name}-{k}")
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, margin: float = 0.0) -> DataFrame:
+    degree = edges.groupBy("kind", "src").agg(F.count("*").alias("deg"))
+    out = saved(edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", "deg"), f"{name}-edges")
+    start = saved(seeds.select("kind", "host").distinct(), f"{name}-seeds")
+    sizes = start.groupBy("kind").agg(F.count("*").alias("n"))  # a row for each kind
+    base = start.join(F.broadcast(sizes), "kind").select("kind", "host", (F.lit(1 - damping) / F.col("n")).alias("base"))
+    rank = base.withColumnRenamed("base", "score")
+    rising = True
+    while rising:
+        was = rank.withColumnRenamed("score", "before")
+        for _ in range(4):
+            moved = out.join(rank, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
+            rank = base.join(moved, ["kind", "host"], "full").select("kind", "host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("got", F.lit(0.0)) * F.lit(damping)).alias("score"))
+        rank = saved(rank, name)
+        rising = rank.join(was, ["kind", "host"], "left").where(F.col("score") - F.coalesce("before", F.lit(0.0)) > F.col("score") * tolerance).limit(1).count()
+    total = rank.groupBy("kind").agg(F.sum("score").alias("total"))
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", F.format_string("%.5e", F.col("score") / F.col("total")).cast("double").alias("score"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-7, margin: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages(page_id, url, html).
 
     A url without rule is blocked where its host's distrust exceeds its trust by more than margin, else allowed (so
@@ -87,12 +92,11 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int
     fit = best_rule(F.col("host"), F.col("path"), rules)
     judged = p.select("page_id", "host", "path", fit.alias("fit"))
     edges = saved(host_edges(p), "host-edges")
-    seed = lambda v: judged.where((F.col("fit.verdict") == v) & (F.col("host") != "")).select("host")
-    trust = spread(edges, seed("allow"), damping, rounds, "trust")
-    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed("block"), damping, rounds, "distrust")
-    scores = saved(
-        trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"), "host-scores"
-    )
+    kinds = F.when(F.col("fit.verdict") == "allow", "trust").when(F.col("fit.verdict") == "block", "distrust")
+    seeds = judged.select(kinds.alias("kind"), "host").where("kind is not null and host <> ''")
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), "dst", "src"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
+    scores = saved(spread(ways, seeds, damping, tolerance, "host-ranks").groupBy("host").agg(of("trust"), of("distrust")), "host-scores")
     return judged.join(scores, "host", "left").select(
         "page_id",
         "host",
