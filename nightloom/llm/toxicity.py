@@ -2,7 +2,7 @@
 
 A word's input is its own hashed embedding beside the scaled sum of its character n-gram embeddings. Two GRUs read a window
 of words from either end; attention over their states gives the window's logit, and a text's logit is the highest of all its
-overlapping windows. Everything is numpy. Training: of each toxic document those windows that score best, of each other
+overlapping windows. Long runs of letters (text without spaces) are read in overlapping pieces. Everything is numpy. Training: of each toxic document those windows that score best, of each other
 document the best-scoring and some others, chosen anew in each epoch; Adam on all parameters. A part of the labelled sample is
 kept from training to place the threshold.
 """
@@ -20,16 +20,21 @@ WINDOW, STRIDE = 32, 24
 WORDS, GRAMS = 1 << 18, 1 << 17  # hash buckets; 0 is kept for padding
 EMBED, HIDDEN = 8, 8
 THRESHOLD = 0.7
+PIECE, SHARED = 40, 5  # letters of a piece of a longer run, and how many it shares with the next: no 5-gram is lost
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters in order, those of more than PIECE letters as overlapping pieces."""
+    found = _WORD.findall((text or "").lower())
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - SHARED), PIECE - SHARED)]
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character 3- and 5-grams of words with their ends marked: all in one array, and how many each word has."""
-    codes = np.frombuffer("\n".join(f"<{w[:40]}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("\n".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.cumsum(codes == 10)
     found, of = [], []
     for n in (3, 5):
