@@ -9,11 +9,10 @@ weights therefore exceed H by a slack, and the few sets with more thin segments
 them. So no pair is lost. The number of segments and of weights of 2 in a band is the cheapest by a cost
 model over the sizes of all documents.
 
-Signatures are matched in buckets by hash: each set meets the smallest document of every signature it has, inside a task first and
-then across tasks, so a signature that very many sets have costs a row a task. Met pairs are verified exactly; linked documents
-become classes. Classes that still meet another through some signature are settled by exact distances of their
-representatives: Jaccard distance is a metric, so where the representatives are too far apart, given the radii of the
-classes, no members can be linked; otherwise the members in question are compared.
+The search runs over the different sets. First, exactly and over all of them, tokens are counted in parts of the universe: a set of whose tokens
+too many are in no other set has no link, and leaves. Sets that meet in a signature which few have are compared. Of a signature that many have,
+a hub is chosen; all are compared with it, and their differences from it are the sets of a new problem without what they share: distances stay as they
+are, and whatever has too few tokens in common with other classes of linked sets leaves. What is then left is compared.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import components, saved
+from nightloom.llm.common import components, dropped, saved
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
@@ -152,345 +151,350 @@ class Plan:
         return np.concatenate(out), np.concatenate(weights), left
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 for every row: the size of the set and two hashes of it."""
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set, as two longs."""
+    return (int(np.bitwise_xor.reduce(tokens)) - 2**63, int(np.add.reduce(_mix(tokens))) - 2**63) if len(tokens) else (0, 0)
 
-    def sizes(batches):
+
+SHARES = 16  # of the documents that have one set
+KEY = ["n", "h1", "h2"]  # size and hashes of a set
+SLICE = 8_000_000  # characters of the texts that a task handles at once
+_SHARED = 0xFFFF  # stands for the document of a token that several documents of a slice have
+
+
+def _scanned(docs: DataFrame, part_of: int, buckets: int) -> DataFrame:
+    """One pass over doc_id, text. kind 1: doc_id, n, h1, h2 of every row. The rest is of slices of a task's texts, `part` names the slice.
+    kind 2: its different sets, packed (n, h1, h2). kind 0: tokens of one bucket, of that part of the universe whose tokens leave 0 by
+    `part_of`: `sig` has 40 bits of each, `docs` the place of its document in the slice."""
+
+    def scan(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        names = ["kind", "part", "bucket", "doc_id", "n", "h1", "h2", "sig", "docs"]
+        part = TaskContext.get().partitionId() << 24
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            two = [(int(np.bitwise_xor.reduce(s)) - 2**63, int(np.add.reduce(_mix(s))) - 2**63) if len(s) else (0, 0) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in two], pa.int64()), pa.array([y for _, y in two], pa.int64())], names=["doc_id", "n", "h1", "h2"])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            at = 0
+            while at < len(ids):
+                rows, sets, size = [], {}, 0
+                while at < len(ids) and size < SLICE and len(sets) < _SHARED:
+                    text = texts[at].as_py()
+                    size += len(text or "")
+                    s = shingle_set(text)
+                    key = (len(s), *set_key(s))
+                    rows.append((1, part, 0, ids[at], *key, None, None))
+                    if ids[at] is not None and len(s):
+                        sets.setdefault(key, s)
+                    at += 1
+                if sets:
+                    rows.append((2, part, -1, None, None, None, None, np.array(list(sets), np.int64).tobytes(), None))
+                    tokens = np.concatenate(list(sets.values()))
+                    doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
+                    chosen = tokens % np.uint64(part_of) == 0
+                    tokens, doc = tokens[chosen], doc[chosen]
+                    tokens = _mix(tokens)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, doc = tokens[order], doc[order]
+                    first = np.ones(len(tokens), bool)
+                    first[1:] = tokens[1:] != tokens[:-1]
+                    again = np.zeros(len(tokens), bool)
+                    again[:-1] = ~first[1:]
+                    doc[again] = _SHARED
+                    tokens, doc = tokens[first], doc[first]
+                    bucket = ((tokens >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    tokens, doc, bucket = tokens[order], doc[order], bucket[order]
+                    low = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :5]
+                    cuts = np.flatnonzero(np.diff(bucket)) + 1
+                    for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True) if len(bucket) else ():
+                        rows.append((0, part, int(bucket[lo]), None, None, None, None, low[lo:hi].tobytes(), doc[lo:hi].tobytes()))
+                part += 1
+                kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "kind int, part long, bucket long, doc_id long, n long, h1 long, h2 long, sig binary, docs binary")
+
+
+def _sharing(scanned: DataFrame) -> DataFrame:
+    """n, h1, h2, alone: the sets that share enough for a link. alone: how many of its scanned tokens no other set has; a similar set lacks these too, so with more than
+    100 - PERCENT % of them alone a set has no link. Tokens are compared by 40 bits in their bucket; falsely equal ones only make `alone` smaller."""
+
+    def compare(key, table):
+        import pyarrow as pa
 
-    return docs.select("doc_id", "text").mapInArrow(sizes, "doc_id long, n long, h1 long, h2 long")
+        low = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :5] = low
+        tokens = wide.view(np.uint64)[:, 0]
+        docs = [np.frombuffer(x, np.uint16) for x in table.column("docs").to_pylist()]
+        order = np.argsort(tokens)
+        differs = np.ones(len(tokens) + 1, bool)
+        differs[1:-1] = np.diff(tokens[order]) != 0
+        alone = np.zeros(len(tokens), bool)
+        alone[order] = differs[1:] & differs[:-1]
+        ends = np.cumsum([len(d) for d in docs])
+        counts = []
+        for d, end in zip(docs, ends, strict=True):
+            own = d[alone[end - len(d) : end] & (d != _SHARED)]
+            at, n = np.unique(own, return_counts=True)
+            counts.append(np.stack([at.astype(np.int64), n]).astype(np.uint32).tobytes())
+        return pa.table({"part": table.column("part"), "kind": pa.array([0] * len(docs), pa.int32()), "packed": pa.array(counts, pa.binary())})
+
+    def total(key, table):
+        import pyarrow as pa
 
+        kind, packed = table.column("kind").to_pylist(), table.column("packed").to_pylist()
+        sets = np.frombuffer(packed[kind.index(2)], np.int64).reshape(-1, 3)
+        alone = np.zeros(len(sets), np.int64)
+        for k, p in zip(kind, packed, strict=True):
+            if k == 0:
+                at, n = np.frombuffer(p, np.uint32).reshape(2, -1)
+                alone[at] += n
+        keep = 100 * (sets[:, 0] - alone) >= PERCENT * sets[:, 0]
+        return pa.table({c: pa.array(v[keep]) for c, v in zip((*KEY, "alone"), (*sets.T, alone), strict=True)})
 
-def _dealt(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """From doc_id, text: rows (bucket, kind, sig, label, role, weight, left), arrays packed as bytes.
+    compared = scanned.where("kind = 0").select("bucket", "part", "sig", "docs").groupBy("bucket").applyInArrow(compare, "part long, kind int, packed binary")
+    both = compared.union(scanned.where("kind = 2").select("part", "kind", "sig"))
+    found = both.groupBy("part").applyInArrow(total, "n long, h1 long, h2 long, alone long")
+    return found.groupBy(*KEY).agg(F.min("alone").alias("alone"))
 
-    Kind 0: signatures of a bucket (40 bits tell one there; a false meeting would only be verified in vain), their documents as steps from one to the
-    next, roles, weights and losses left. Kind 1: copies met inside a batch, (sig, label) = (copy, first); only the first goes on. Kind 2: signatures that are common
-    inside a batch already, for good; kind 3 tells the bucket that they are. So a signature of very many documents costs a few rows a batch there.
-    """
 
-    def deal(batches):
+def _buckets(docs: DataFrame, part_of: int) -> int:
+    """As many as leave some 400 000 tokens of the scanned part of the universe in each."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(16, chars // (6 * part_of * 400_000))
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """n, h1, h2, tokens (packed) for each row of doc_id, text."""
+
+    def sets(batches):
         import pyarrow as pa
 
-        names = ["bucket", "kind", "sig", "label", "role", "weight", "left"]
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < 8_000_000:
-                    size += len(texts[end] or "")
-                    end += 1
-                part = sorted(zip(labels[at:end], texts[at:end], strict=True), key=lambda p: p[0])
-                at = end
-                first, copies, docs_, sets = {}, [], [], []
-                for d, t in part:
-                    s = shingle_set(t)
-                    if not len(s):
-                        continue
-                    own = first.setdefault(s.tobytes(), d)
-                    if own != d:
-                        copies.append((d, own))
-                    elif not sets or docs_[-1] != d or len(sets[-1]) != len(s) or (sets[-1] != s).any():
-                        docs_.append(d)
-                        sets.append(s)
-                rows = []
-                if copies:
-                    pairs = np.unique(np.array(copies, np.int64), axis=0)
-                    rows.append((int(pairs[0, 0]) % buckets, 1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b"", b"", b""))
-                if sets:
-                    made = [plan.signatures(s) for s in sets]
-                    sig, role, weight, left = (np.concatenate([m[k] for m in made]) for k in range(4))
-                    doc = np.repeat(np.array(docs_, np.int64), [len(m[0]) for m in made])
-                    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                    low = (sig & np.uint64(2**40 - 1)).astype(np.int64)
-                    role, weight, left = role.astype(np.int8), weight.astype(np.int8), np.clip(left, -1, 32000).astype(np.int16)
-                    _, at_sig, many = np.unique(sig, return_inverse=True, return_counts=True)
-                    common = many[at_sig] > COMMON
-                    for kind, chosen in ((0, ~common), (2, common)):
-                        order = np.flatnonzero(chosen)
-                        order = order[np.lexsort((doc[order], bucket[order]))]
-                        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                        for o in np.split(order, cuts) if len(order) else []:
-                            wide = np.ascontiguousarray(low[o]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                            rows.append((int(bucket[o[0]]), kind, wide, np.diff(doc[o], prepend=0).tobytes(), role[o].tobytes(), weight[o].tobytes(), left[o].tobytes()))
-                            if kind == 2:
-                                rows.append((int(bucket[o[0]]), 3, np.unique(low[o]).tobytes(), b"", b"", b"", b""))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=names)
-
-    return docs.mapInArrow(deal, "bucket long, kind int, sig binary, label binary, role binary, weight binary, left binary")
-
-
-COMMON = 8  # documents; what more of them share is a common signature
-
-
-def _matched(dealt: DataFrame) -> DataFrame:
-    """kind, sig, docs, role, weight, left. Kind 0: two or more documents (sorted) that share a signature which isn't common. Kind 1: copies (two documents).
-    Kind 2: a document (alone) with a common signature."""
-
-    def match(key, table):
-        import pyarrow as pa
+            for at in range(0, batch.num_rows, 256):
+                found = [shingle_set(t) for t in batch.column(1).slice(at, 256).to_pylist()]
+                keys = [(len(s), *set_key(s)) for s in found]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], pa.int64()) for j in range(3)), pa.array([s.tobytes() for s in found], pa.binary())], names=[*KEY, "tokens"])
 
-        kind, bucket = table.column("kind").to_numpy(), key[0].as_py()
-        rows = {k: [np.flatnonzero(kind == k)] for k in range(4)}
-        blob = lambda name, k, t: np.frombuffer(b"".join(table.column(name).take(pa.array(rows[k][0])).to_pylist()), t)
-
-        def spread(k):
-            low = blob("sig", k, np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(low), 8), np.uint8)
-            wide[:, :5] = low
-            steps = [np.cumsum(np.frombuffer(x, np.int64)) for x in table.column("label").take(pa.array(rows[k][0])).to_pylist()]
-            return wide.view(np.int64)[:, 0], np.concatenate(steps or [np.zeros(0, np.int64)]), blob("role", k, np.int8), blob("weight", k, np.int8), blob("left", k, np.int16)
-
-        sig, doc, role, weight, left = spread(0)
-        order = np.lexsort((doc, sig))
-        sig, doc, role, weight, left = (x[order] for x in (sig, doc, role, weight, left))
-        known, count = np.unique(sig, return_counts=True)
-        common = np.repeat((count > COMMON) | np.isin(known, blob("sig", 3, np.int64)), count)
-        pairs = np.stack([blob("sig", 1, np.int64), blob("label", 1, np.int64)], 1)
-        cut = np.concatenate([[0], np.cumsum(count)])
-        groups = {tuple(np.unique(doc[cut[k] : cut[k + 1]]).tolist()) for k in np.flatnonzero((count > 1) & ~common[cut[:-1]])} if len(count) else set()
-        out = [(0, 0, list(g), 0, 0, 0) for g in groups if len(g) > 1]
-        out += [(1, 0, sorted(p), 0, 0, 0) for p in pairs.tolist()]
-        for s, d, r, w, x in ((sig[common], doc[common], role[common], weight[common], left[common]), spread(2)):
-            out += zip([2] * len(s), ((bucket << 40) | s).tolist(), [[v] for v in d.tolist()], r.tolist(), w.tolist(), x.tolist(), strict=True)
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "sig", "docs", "role", "weight", "left"])
-
-    return dealt.groupBy("bucket").applyInArrow(match, "kind int, sig long, docs array<bigint>, role int, weight int, left int")
-
-
-def _groups(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, common): groups(docs), sorted documents that meet in a signature that isn't common; common(sig, doc), memberships that must count.
-
-    A pair that is similar meets in weights above what thin segments and common signatures can cost a document that has loss left for all of its own; so common
-    signatures only matter between documents that lose more than they may.
-    """
-    groups = matched.where("kind < 2").select("docs").distinct()
-    single = matched.where("kind = 2").select("sig", F.get("docs", 0).alias("doc"), "role", "weight", "left")
-    lost = single.groupBy("doc", "role").agg(F.sum("weight").alias("lost"), F.max("left").alias("left")).where("lost > left").select("doc").distinct()
-    return saved(groups, "groups"), saved(single.join(lost, "doc", "left_semi").select("sig", "doc").distinct(), "common")
+    return docs.select("doc_id", "text").mapInArrow(sets, "n long, h1 long, h2 long, tokens binary")
 
 
-def _shared_sizes(common: DataFrame, known: DataFrame) -> DataFrame:
-    """doc, n, e for documents in common: the size, and how many tokens another of them has too. No pair of them shares more than the smaller e, so
-    copies that were edited too much to be similar to any other are told without a comparison."""
+def _signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """node, role, sig, weight, left: a row for each signature."""
 
-    def tokens(batches):
+    def deal(batches):
         import pyarrow as pa
 
+        names = ["node", "role", "sig", "weight", "left"]
         for batch in batches:
-            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "tokens"])
+            for at in range(0, batch.num_rows, 256):
+                ids = batch.column(0).slice(at, 256).to_numpy()
+                made = [plan.signatures(np.frombuffer(t, np.uint64)) for t in batch.column(1).slice(at, 256).to_pylist()]
+                sig, role, weight, left = (np.concatenate([m[k] for m in made]) for k in range(4))
+                columns = [np.repeat(ids, [len(m[0]) for m in made]), role.astype(np.int32), sig.view(np.int64), weight.astype(np.int32), left.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    asked = common.select("doc").distinct()
-    sets = known.join(asked, known.doc_id == asked.doc, "left_semi").select("doc_id", "text").mapInArrow(tokens, "doc long, tokens array<bigint>")
-    sets = saved(sets, "common-sets")
-    once = sets.select("doc", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
-    alone = once.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
-    sizes = sets.groupBy("doc").agg(F.max(F.size("tokens")).alias("n"), F.min(F.size("tokens")).alias("least"))
-    return saved(sizes.join(alone, "doc", "left").select("doc", F.col("least").alias("n"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("e")), "shared-sizes")
+    return nodes.select("node", "tokens").mapInArrow(deal, "node long, role int, sig long, weight int, left int")
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """For pairs(a, b): a, b, na, nb, both (tokens shared), exactly. texts: doc_id, text of all documents in the pairs.
+COMMON = 8  # sets; what more of them share is a common signature
 
-    A document's text goes once to each group of partners: pairs are dealt by b and, where b has many, by shares of a.
+
+def _met(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, common): groups(nodes), the sorted sets, COMMON at most, that share a signature; common(sig, node), memberships of common signatures that must count.
+
+    A similar pair meets in weights above what thin segments and common signatures can cost a set that has loss left for all of its own; so common
+    signatures only matter between sets that lose more than they may.
     """
-    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 256)).alias("share"))
-    dealt = saved(dealt, f"{name}-dealt")
+    counts = signatures.groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = saved(signatures.join(counts, "sig"), "shared-signatures")
+    groups = shared.where(f"sets <= {COMMON}").groupBy("sig").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").where("size(nodes) > 1").distinct()
+    single = shared.where(f"sets > {COMMON}")
+    lost = single.groupBy("node", "role").agg(F.sum("weight").alias("lost"), F.min("left").alias("left")).where("lost > left").select("node").distinct()
+    return saved(groups, "groups"), saved(single.join(lost, "node", "left_semi").select("sig", "node"), "common")
+
+
+def _hubs(groups: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stars, families), both (node, hub): each set with the first of its groups, and with the set of its common signatures that has most of them;
+    edited copies are nearer to that one than to each other."""
+    stars = groups.select(F.explode("nodes").alias("node"), F.get("nodes", 0).alias("hub")).where("node <> hub").distinct()
+    weight = common.groupBy("node").agg(F.count("*").alias("weight"))
+    middle = common.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("m"))
+    families = common.join(middle, "sig").select("node", (-F.col("m.node")).alias("hub")).distinct()
+    return stars, saved(families, "families")
+
+
+def _placed(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Rows (place, b, share, many, node, role, tokens) of pairs(a, b): role 0 the a, role 1 the b of a share; many: how many pairs b has. A set's tokens go once to each
+    group of partners: pairs are dealt by b and, where b has many, by shares of a."""
+    many = pairs.groupBy("b").agg(F.count("*").alias("many"))
+    dealt = saved(pairs.join(many, "b").select("a", "b", "many", F.pmod(F.xxhash64("a"), F.ceil(F.col("many") / 256)).alias("share")), name)
     groups = max(1, dealt.count() // 512)
     place = F.pmod(F.xxhash64("b", "share"), F.lit(groups)).alias("place")
-    asked = dealt.select(place, "b", "share", F.col("a").alias("doc"), F.lit(0).alias("role"))
-    held = dealt.select(place, "b", "share", F.col("b").alias("doc"), F.lit(1).alias("role")).distinct()
-    with_text = asked.union(held).join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    asked = dealt.select(place, "b", "share", "many", F.col("a").alias("node"), F.lit(0).alias("role"))
+    held = dealt.select(place, "b", "share", "many", F.col("b").alias("node"), F.lit(1).alias("role")).distinct()
+    return asked.union(held).join(nodes.select("node", "tokens"), "node")
+
+
+def _of_partners(table, made) -> list:
+    """Rows made(a, tokens of a, b, tokens of b) of the pairs of a place."""
+    b, share, node, role = (table.column(c).to_pylist() for c in ("b", "share", "node", "role"))
+    tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+    hubs = {(b[k], share[k]): tokens[k] for k in range(len(b)) if role[k]}
+    return [made(node[k], tokens[k], b[k], hubs[b[k], share[k]]) for k in range(len(b)) if not role[k]]
+
+
+def _measured(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """For pairs(a, b): a, b, na, nb, both (tokens shared), exactly."""
 
     def measure(key, table):
         import pyarrow as pa
 
-        sets, hubs, rows = {}, {}, []
-        b, share, doc, role, text = (table.column(c).to_pylist() for c in ("b", "share", "doc", "role", "text"))
-        for k in range(len(b)):
-            at = (doc[k], text[k])
-            if at not in sets:
-                sets[at] = shingle_set(text[k])
-            if role[k]:
-                hubs.setdefault((b[k], share[k]), []).append(sets[at])
-        for k in range(len(b)):
-            if not role[k]:
-                x = sets[doc[k], text[k]]
-                for y in hubs[b[k], share[k]]:
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    rows.append((doc[k], b[k], len(x), len(y), both))
+        rows = _of_partners(table, lambda a, x, b, y: (a, b, len(x), len(y), len(x) + len(y) - len(np.unique(np.concatenate([x, y])))))
         return pa.table({c: pa.array([r[j] for r in rows], pa.int64()) for j, c in enumerate(("a", "b", "na", "nb", "both"))})
 
-    return with_text.groupBy("place").applyInArrow(measure, "a long, b long, na long, nb long, both long")
+    return saved(_placed(pairs, nodes, f"{name}-dealt").groupBy("place").applyInArrow(measure, "a long, b long, na long, nb long, both long"), name)
 
 
-def _linked(p: DataFrame):
+def _links(measured: DataFrame) -> DataFrame:
     """Integer test: 100 * intersection >= PERCENT * union."""
-    return p.where(f"100 * both >= {PERCENT} * (na + nb - both)").where("na > 0")
+    return measured.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
 
 
-DISTANCE = "1 - both / cast(na + nb - both as double)"
+def _labels(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """node, comp of all nodes after links(a, b)."""
+    found = components(links, name)
+    return saved(nodes.select(F.col("node").alias("id")).join(found, F.col("id") == found.node, "left").select(F.col("id").alias("node"), F.coalesce("comp", "id").alias("comp")), f"{name}-labels")
 
 
-def _merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """doc, comp after links(a, b) between documents."""
-    ends = links.join(labels.selectExpr("doc a", "comp ca"), "a").join(labels.selectExpr("doc b", "comp cb"), "b")
-    joined = components(ends.selectExpr("ca a", "cb b"), name)
-    out = labels.join(joined, labels.comp == joined.node, "left").select("doc", F.coalesce(joined.comp, labels.comp).alias("comp"))
-    return saved(out, f"{name}-labels")
+# Similar sets of sizes x and y differ in at most (x + y) * LEAST / MOST tokens and share at least (x + y) * PERCENT / MOST.
+LEAST, MOST = 100 - PERCENT, 100 + PERCENT
+_FIT = f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn) AND {MOST} * least(e, pe) >= {PERCENT} * (n + pn)"
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (child, parent) whose ends are in different classes, with these."""
-    two = pairs.join(labels.selectExpr("doc child", "comp ca"), "child").join(labels.selectExpr("doc parent", "comp cb"), "parent")
-    return two.where("ca <> cb")
+def _within_groups(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups whose sets are in different classes, as far as sizes and shared tokens leave a link possible. A group has COMMON sets at most."""
+    first = groups.select("nodes", F.explode("nodes").alias("a"))
+    pairs = first.select("a", F.explode(F.filter("nodes", lambda b: b > F.col("a"))).alias("b")).distinct()
+    of = lambda c, p: sizes.selectExpr(f"node {c}", f"n {p}n", f"e {p}e", f"comp {p}comp")
+    return pairs.join(of("a", ""), "a").join(of("b", "p"), "b").where(f"comp <> pcomp AND {_FIT}").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def _differences(families: DataFrame, nodes: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """hub, node, bucket, comp, delta, tokens: what a set and its hub don't both have, by buckets of tokens. Dropping what the members of a family share with the hub
+    leaves all distances between them as they are."""
+
+    def differ(key, table):
+        import pyarrow as pa
+
+        rows, members = [], dict(zip(table.column("b").to_pylist(), table.column("many").to_pylist(), strict=True))
+        for a, b, x in _of_partners(table, lambda a, x, b, y: (a, b, np.setxor1d(x, y, assume_unique=True))):
+            bucket = (x >> np.uint64(32)) % np.uint64(1 + members[b] // 4096)
+            rows += [(b, a, int(k), len(x), x[bucket == k].tobytes()) for k in np.unique(bucket)] or [(b, a, 0, 0, b"")]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["hub", "node", "bucket", "delta", "tokens"])
+
+    placed = _placed(families.selectExpr("node a", "hub b"), nodes, f"{name}-dealt")
+    found = placed.groupBy("place").applyInArrow(differ, "hub long, node long, bucket long, delta long, tokens binary")
+    return saved(found.join(classes.select("node", "comp"), "node"), name)
+
+
+def _outside(differences: DataFrame) -> DataFrame:
+    """hub, node, o: how many tokens of a difference the differences of other classes in the family have too."""
+
+    def compare(key, table):
+        import pyarrow as pa
+
+        tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        every = np.concatenate(tokens)
+        of = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
+        _, at = np.unique(every, return_inverse=True)
+        low, high = np.full(at.max(initial=-1) + 1, len(comp)), np.full(at.max(initial=-1) + 1, -1)
+        np.minimum.at(low, at, comp[of])
+        np.maximum.at(high, at, comp[of])
+        o = np.bincount(of[(low != high)[at]], minlength=len(tokens))
+        return pa.table({"hub": table.column("hub"), "node": table.column("node"), "o": pa.array(o, pa.int64())})
+
+    return differences.groupBy("hub", "bucket").applyInArrow(compare, "hub long, node long, o long").groupBy("hub", "node").agg(F.sum("o").alias("o"))
+
+
+def _within_families(families: DataFrame, nodes: DataFrame, sizes: DataFrame, name: str, rounds: int = 3) -> DataFrame:
+    """Pairs (a, b) of families whose sets are in different classes and may be linked.
+
+    With differences x and y from the hub, two sets differ in |x| + |y| - 2 |x & y| tokens, so a link asks for 2 |x & y| >= excess(a) + excess(b), where a set's excess is the
+    size of its difference less its part of what a similar pair may differ in. No set shares more with other classes than its o. Sets that
+    this rules out go, which lowers the o of others; what is left is compared.
+    """
+    several = families.join(sizes.select("node", "comp"), "node").groupBy("hub").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("hub")
+    open_ = saved(families.join(several, "hub", "left_semi"), f"{name}-open")
+    found = _differences(open_, nodes, sizes, name)
+    for r in range(rounds):
+        rows = found.groupBy("hub", "node", "comp").agg(F.max("delta").alias("delta")).join(_outside(found), ["hub", "node"]).join(sizes.select("node", "n", "e"), "node")
+        rows = saved(rows.withColumn("excess", F.expr(f"{MOST} * delta - {LEAST} * n")), f"{name}-{r}")
+        # The least excess of another class: that of the family's best, or of the best outside its class.
+        best = rows.groupBy("hub").agg(F.min(F.struct("excess", "comp")).alias("best"), F.min("n").alias("pn"))
+        second = rows.join(best, "hub").where("comp <> best.comp").groupBy("hub").agg(F.min("excess").alias("second"))
+        partner = best.join(second, "hub").selectExpr("hub", "best.excess first", "best.comp of", "second", "pn")
+        kept = rows.join(partner, "hub").where(f"{2 * MOST} * o >= excess + CASE WHEN comp = of THEN second ELSE first END AND {MOST} * e >= {PERCENT} * (n + pn)")
+        kept = saved(kept.select("hub", "node", "comp", "n", "e", "o", "excess"), f"{name}-kept-{r}")
+        if r == rounds - 1 or kept.count() * 10 > rows.count() * 9:
+            break
+        found = found.join(kept.select("hub", "node"), ["hub", "node"], "left_semi")
+    other = kept.selectExpr("hub", "node b", "comp pcomp", "n pn", "e pe", "o po", "excess pexcess")
+    may = f"node < b AND comp <> pcomp AND {2 * MOST} * least(o, po) >= excess + pexcess AND {_FIT}"
+    return kept.join(other, "hub").where(may).selectExpr("node a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     Documents link where 100 * |A & B| >= 80 * |A or B| over sets of five-word shingles; component_id is the smallest
     doc_id reachable. Null, empty and blank texts have no shingles and link with nothing. Rows that share a
     doc_id are one document with several texts: each text is compared, and links count for the id. A null doc_id has a null
     component and takes no part. Other columns are not carried. An empty table gives an empty one.
+    part_of: the first pass compares the tokens of one part of so many of the universe.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = saved(_sizes(docs), "sizes")
-    density = sizes.where("n > 0").groupBy(F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int").alias("k")).agg(F.count("*").alias("d"), F.max("n").alias("most"), F.sum("n").alias("tokens")).collect()  # some dozens of rows
+    scanned = saved(_scanned(docs, part_of, _buckets(docs, part_of)), "scanned")
+    sizes = scanned.where("kind = 1").select("doc_id", *KEY)
+    known = sizes.where("doc_id is not null and n > 0")
+    # Equal sets are one node of the search, named by the smallest doc_id.
+    sets = saved(known.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "sets")
+    some = sets.join(_sharing(scanned), KEY).select("first", *KEY)
+    some = saved(some, "sharing-part")
+    texts = saved(docs.join(some.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # The same by the whole universe, over the sets that are left.
+    again = saved(_scanned(texts, 1, _buckets(texts, 1)), "scanned-again")
+    left = saved(sets.join(_sharing(again), KEY).select(*KEY, "first", (F.col("n") - F.col("alone")).alias("e")), "sharing")
+    nodes = texts.join(left.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = _tokens(nodes).dropDuplicates(KEY).join(left, KEY).withColumn("node", F.monotonically_increasing_id())
+    nodes = saved(nodes, "nodes")
+    dropped(again, texts)
+    density = nodes.groupBy(F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int").alias("k")).agg(F.count("*").alias("d"), F.max("n").alias("most")).collect()  # some dozens of rows
     plan = Plan({r["k"]: r["d"] for r in density}, max((r["most"] for r in density), default=1))
-    buckets = max(64, int(sum(r["tokens"] for r in density) * 0.6) // 400_000)
-    known = docs.where("doc_id is not null")
-
-    # First: each document with the smallest of each signature it has.
-    groups, common = _groups(saved(_matched(_dealt(known, plan, buckets)), "matched"))
-    shared = _shared_sizes(common, known)
-    common = saved(common.join(shared.where(f"100 * e >= {PERCENT} * n"), "doc", "left_semi"), "common-left")
-    star = groups.select(F.explode("docs").alias("child"), F.get("docs", 0).alias("parent"), F.lit(0).cast("long").alias("weight"))
-    # Of a common signature the document with most of them is the middle: edited copies are nearer to it than to each other.
-    weight = common.groupBy("doc").agg(F.count("*").alias("weight"))
-    middle = common.join(weight, "doc").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc"))).alias("m"))
-    star = star.union(common.join(middle, "sig").select(F.col("doc").alias("child"), (-F.col("m.doc")).alias("parent"), F.col("m.weight").alias("weight"))).where("child <> parent")
-    met = saved(star.groupBy("child", "parent").agg(F.max("weight").alias("weight")), "met")
-    in_pairs = met.select(F.col("child").alias("doc")).union(met.select("parent")).distinct()
-    in_pairs = saved(in_pairs, "in-pairs")
-    texts = saved(known.join(in_pairs, known.doc_id == in_pairs.doc, "left_semi"), "texts")
-    labels = saved(in_pairs.select("doc", F.col("doc").alias("comp")), "labels")
-    prints = saved(sizes.join(in_pairs, sizes.doc_id == in_pairs.doc, "left_semi").selectExpr("doc_id doc", "n", "h1", "h2"), "prints")
-    two = met.join(prints.selectExpr("doc child", "n na", "h1 a1", "h2 a2"), "child").join(prints.selectExpr("doc parent", "n nb", "h1 b1", "h2 b2"), "parent")
-    two = saved(two.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("child", "parent", "weight", F.expr("na = nb and a1 = b1 and a2 = b2").alias("same")), "met-sized")
-    labels = _merged(labels, two.where("same").selectExpr("child a", "parent b"), "same")
-    left = two.where("not same").groupBy("child", "parent").agg(F.max("weight").alias("weight"))
-    tried = None
-    for r in range(rounds):
-        open_ = _across(left, labels)
-        if tried is not None:
-            open_ = open_.join(tried, ["child", "parent"], "left_anti")
-        if r < rounds - 1:
-            # One pair a document: with the best middle, or else the smallest document, of another class. Others often settle themselves.
-            best = F.max(F.struct("weight", (-F.col("parent")).alias("parent"))).alias("m")
-            open_ = open_.groupBy("child").agg(best).select("child", (-F.col("m.parent")).alias("parent"))
-        open_ = saved(open_.selectExpr("child a", "parent b"), f"pairs-{r}")
-        if not open_.limit(1).count():
-            break
-        measured = saved(_measured(open_, texts, f"measure-{r}"), f"measured-{r}")
-        labels = _merged(labels, _linked(measured).select("a", "b"), f"links-{r}")
-        done = open_.selectExpr("a child", "b parent")
-        tried = saved(done if tried is None else tried.union(done), f"tried-{r}")
-    labels = _settled(met, groups, common, shared, prints, labels, texts, tried)
-    out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(labels.selectExpr("doc __doc", "comp __comp"), F.col("doc_id") == F.col("__doc"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("__comp", "doc_id").alias("component_id"))
-
-
-def _class_pairs(groups: DataFrame, common: DataFrame, shared: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
-    """a < b: pairs of open classes that meet in a signature and whose sizes leave a link possible. A group has at most COMMON documents.
-
-    low and high: sizes of a class' documents; e: the most tokens that one of them shares with any other of the common ones (its size, elsewhere).
-    """
-    own = members.join(sizes, "doc").groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    seen = members.join(shared, "doc").groupBy("comp").agg(F.max("e").alias("e"))
-    item = F.struct("comp", "low", "high", "e")
-    g = groups.select(F.xxhash64("docs").alias("g"), F.explode("docs").alias("doc")).join(members, "doc").select("g", "comp").distinct()
-    g = g.join(own, "comp").withColumn("e", F.col("high")).groupBy("g").agg(F.array_sort(F.collect_set(item)).alias("comps"))
-    c = common.join(members, "doc").select("sig", "comp").distinct()
-    c = c.join(own, "comp").join(seen, "comp").groupBy("sig").agg(F.array_sort(F.collect_set(item)).alias("comps"))
-    both = g.select("comps").union(c.select("comps")).where("size(comps) > 1").distinct()
-    first = both.select("comps", F.posexplode("comps").alias("i", "a"))
-
-    def possible(b):
-        a = F.col("a")
-        most = F.least(a["e"], b["e"])
-        return (100 * a["high"] >= PERCENT * b["low"]) & (100 * b["high"] >= PERCENT * a["low"]) & (100 * most >= PERCENT * (a["low"] + b["low"] - most))
-
-    rest = F.filter(F.slice("comps", F.col("i") + 2, F.size("comps")), possible)
-    return first.select("a", F.explode(rest).alias("b")).select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b")).distinct()
-
-
-# Whether a document (n to high shingles, e of them shared) may be linked with one of a class (low, most, ce): by sizes, and by what both can share.
-_COUNTED = "CASE WHEN counted AND all_counted THEN least(e, ce) ELSE least(high, most) END"
-_MAY_LINK = f"100 * high >= {PERCENT} * low AND 100 * most >= {PERCENT} * n AND 100 * ({_COUNTED}) >= {PERCENT} * (n + low - ({_COUNTED}))"
-
-
-def _document_sizes(members: DataFrame, prints: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc, n, high (least and greatest size of its texts), e, counted: e holds against documents that are counted too."""
-    own = prints.join(members.select("doc"), "doc", "left_semi").where("n > 0").groupBy("doc").agg(F.min("n").alias("n"), F.max("n").alias("high"))
-    return own.join(shared.select("doc", "e"), "doc", "left").select("doc", "n", "high", F.coalesce("e", "high").alias("e"), F.col("e").isNotNull().alias("counted"))
-
-
-def _settled(met: DataFrame, groups: DataFrame, common: DataFrame, shared: DataFrame, prints: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Labels after all pairs of classes that share a signature are settled."""
-    apart = _across(met, labels)
-    open_classes = saved(apart.select(F.col("ca").alias("comp")).union(apart.select("cb")).distinct(), "open-classes")
-    if not open_classes.limit(1).count():
-        return labels
-    members = saved(labels.join(open_classes, "comp", "left_semi"), "members")
-    counts = members.groupBy("comp").agg(F.count("*").alias("n"))
-    sizes = prints.where("n > 0").groupBy("doc").agg(F.min("n").alias("n"), F.max("n").alias("most"))
-    sizes = sizes.select("doc", "n").union(sizes.select("doc", "most"))
-    pairs = saved(_class_pairs(groups, common, shared, sizes, members), "class-pairs")
-    # A class' representative is its smallest document, whose id names it.
-    size = counts.select("comp", "n")
-    pairs = pairs.join(size.selectExpr("comp a", "n ma"), "a").join(size.selectExpr("comp b", "n mb"), "b")
-    if tried is not None:  # single documents that were compared already
-        done = tried.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")).withColumn("done", F.lit(True))
-        pairs = pairs.join(done.distinct(), ["a", "b"], "left").where("done is null or ma > 1 or mb > 1").drop("done")
-    pairs = saved(pairs, "class-pairs-sized")
-    if not pairs.limit(1).count():
-        return labels
-    measured = saved(_measured(pairs.select("a", "b"), texts, "classes"), "classes-measured")
-    links = _linked(measured).select("a", "b")
-    far = pairs.where("ma > 1 or mb > 1").join(measured.groupBy("a", "b").agg(F.min(F.expr(DISTANCE)).alias("d"), F.max(F.expr(f"100 * both >= {PERCENT} * (na + nb - both)")).alias("linked")), ["a", "b"]).where("not linked")
-    far = saved(far, "classes-apart")
-    if far.limit(1).count():
-        big = far.where("ma > 1").select(F.col("a").alias("comp")).union(far.where("mb > 1").select("b")).distinct()
-        inside = members.join(big, "comp", "left_semi").where("doc <> comp").selectExpr("doc a", "comp b")
-        spread = saved(_measured(inside, texts, "radius"), "radius-measured").selectExpr("b comp", f"{DISTANCE} d")
-        radius = spread.groupBy("comp").agg(F.max("d").alias("radius"))
-        far = far.join(radius.selectExpr("comp a", "radius ra"), "a", "left").join(radius.selectExpr("comp b", "radius rb"), "b", "left")
-        limit = 1 - PERCENT / 100 + 1e-9
-        close = saved(far.where(f"d <= {limit} + coalesce(ra, 0) + coalesce(rb, 0)"), "classes-close")
-        if close.limit(1).count():
-            # Members of one class whose distance from the other's representative allows a link at all.
-            fit = _document_sizes(members, prints, shared)
-            of_class = fit.join(members, "doc").groupBy("comp").agg(F.min("n").alias("low"), F.max("high").alias("most"), F.max("e").alias("ce"), F.min("counted").alias("all_counted"))
-            side = fit.selectExpr("doc x", "n", "high", "e", "counted")
-            one = members.selectExpr("doc x", "comp a").join(close.selectExpr("a", "b", "rb r"), "a").join(side, "x").join(of_class.withColumnRenamed("comp", "b"), "b").where(_MAY_LINK).selectExpr("x a", "b", "a ca", "r")
-            two = members.selectExpr("doc x", "comp b").join(close.selectExpr("b", "a", "ra r"), "b").join(side, "x").join(of_class.withColumnRenamed("comp", "a"), "a").where(_MAY_LINK).selectExpr("x a", "a b", "b ca", "r")
-            both = saved(one.union(two), "to-representatives")
-            to_rep = saved(_measured(both.select("a", "b").distinct(), texts, "reps"), "reps-measured").selectExpr("a", "b", f"{DISTANCE} d")
-            allowed = saved(both.join(to_rep, ["a", "b"]).where(f"d <= {limit} + coalesce(r, 0)").groupBy("a", "b", "ca").agg(F.min("d").alias("d"), F.max("d").alias("dmax")), "allowed")
-            x = allowed.selectExpr("a x", "ca c1", "b c2", "d dx", "dmax dxm")
-            y = allowed.selectExpr("a y", "ca c2", "b c1", "d dy", "dmax dym")
-            sized = x.join(y, ["c1", "c2"]).where("c1 < c2").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-            links = links.union(_linked(saved(_measured(sized, texts, "members"), "members-measured")).select("a", "b"))
-    return _merged(labels, links, "settled")
+    signatures = saved(_signatures(nodes, plan), "signatures")
+    groups, common = _met(signatures)
+    dropped(signatures)
+    stars, families = _hubs(groups, common)
+    both = stars.union(families.where("node <> hub")).distinct().selectExpr("node a", "hub b")
+    size = nodes.select("node", "n", "e")
+    fit = both.join(size.selectExpr("node a", "n", "e"), "a").join(size.selectExpr("node b", "n pn", "e pe"), "b").where(_FIT).select("a", "b")
+    links = _links(_measured(fit, nodes, "stars-measured"))
+    classes = saved(size.join(_labels(nodes, links, "stars"), "node"), "classes")
+    rest = _within_groups(groups, classes).union(_within_families(families, nodes, classes, "families-apart")).distinct()
+    rest = _links(_measured(rest, nodes, "rest-measured"))
+    # Ends of links as documents; an id with several texts is one document.
+    ends = links.union(rest).join(nodes.selectExpr("node a", "first x"), "a").join(nodes.selectExpr("node b", "first y"), "b").selectExpr("x a", "y b")
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*KEY)).alias("k"), F.max(F.struct(*KEY)).alias("l")).where("k <> l").select("doc_id")
+    texts_of = known.join(several, "doc_id", "left_semi").distinct().join(sets, KEY).selectExpr("doc_id a", "first b")
+    found = components(ends.union(texts_of), "documents")
+    named = sets.where("copies > 1").select(*KEY, "first").union(left.select(*KEY, "first")).union(sets.join(several, F.col("first") == F.col("doc_id"), "left_semi").select(*KEY, "first")).distinct()
+    named = saved(named.join(found, F.col("first") == F.col("node"), "left").select(*KEY, F.coalesce("comp", "first").alias("comp")), "named")
+    # A set that very many documents have is a hot key of this join: its documents are dealt by shares.
+    named = named.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = sizes.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
+    out = dealt.join(named, [*KEY, "share"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
