@@ -465,11 +465,12 @@ def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     sets = saved(known.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "sets")
     some = sets.join(_sharing(scanned), KEY).select("first", *KEY)
     some = saved(some, "sharing-part")
-    texts = saved(docs.join(some.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # What is left has no proven bound: it is not to be broadcast, whatever its size here.
+    texts = saved(docs.join(some.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     # The same by the whole universe, over the sets that are left.
     again = saved(_scanned(texts, 1, _buckets(texts, 1)), "scanned-again")
     left = saved(sets.join(_sharing(again), KEY).select(*KEY, "first", (F.col("n") - F.col("alone")).alias("e")), "sharing")
-    nodes = texts.join(left.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = texts.join(left.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     nodes = _tokens(nodes).dropDuplicates(KEY).join(left, KEY).withColumn("node", F.monotonically_increasing_id())
     nodes = saved(nodes, "nodes")
     dropped(again, texts)
