@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where none is set and driver and workers are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("nightloom.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="nightloom-")
         spark.conf.set("nightloom.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,10 +73,14 @@ def components(edges: DataFrame, name: str, limit: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+SLICE = 4_000_000  # bytes of a batch that are worked on at once
+
+
 def map_lists(df: DataFrame, made, schema: str) -> DataFrame:
     """mapInArrow for code on plain lists: made(dict of column -> list) returns rows (tuples) in the order of schema.
 
-    Nulls stay None and longs stay exact, which pandas would not grant. A batch's rows go out in slices.
+    Nulls stay None and longs stay exact, which pandas would not grant. A batch is taken in slices of some megabytes, or of one row where that has more, so what is
+    in memory at once follows from the longest row, not from the batch.
     """
     kinds = df.sparkSession.createDataFrame([], schema).schema
 
@@ -84,9 +90,10 @@ def map_lists(df: DataFrame, made, schema: str) -> DataFrame:
 
         out = to_arrow_schema(kinds)
         for batch in batches:
-            rows = made({n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)})
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
+            step = max(1, min(2048, batch.num_rows * SLICE // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                part = made({n: some.column(k).to_pylist() for k, n in enumerate(some.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(out)], schema=out)
 
     return df.mapInArrow(run, kinds)
