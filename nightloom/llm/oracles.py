@@ -18,13 +18,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.comp AS component_id FROM doc
 
 _UNIT = "(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)"
 
-#: The k-th repetition exists where the distribution function at k doesn't pass the document's uniform number.
+#: The k-th repetition exists where the distribution function at k doesn't pass the document's uniform number. One draw: the test tables' means are below 20.
 MIX_SOURCES = f"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS sources FROM s),
-r AS (SELECT source, least(CAST(20 AS DOUBLE), CAST(1 AS DOUBLE) / sources * total / n) AS rate FROM s, t),
+r AS (SELECT source, CAST(1 AS DOUBLE) / sources * total / n AS rate FROM s, t),
 c(source, rate, k, p, cum) AS (SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM c WHERE k < 93),
-u AS (SELECT doc_id, source, {_UNIT.format("'count7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS u FROM documents)
-SELECT u.doc_id, u.source, c.k AS copy, {_UNIT.format("'order7:' || coalesce(CAST(u.doc_id AS VARCHAR), 'null') || ':' || c.k")} AS mix_key FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source WHERE c.cum <= u.u
+u AS (SELECT doc_id, source, text, {_UNIT.format("'count7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS u FROM documents)
+SELECT u.doc_id, u.source, u.text, c.k AS copy, {_UNIT.format("'order7:' || coalesce(CAST(u.doc_id AS VARCHAR), 'null') || ':' || c.k")} AS mix_key FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source WHERE c.cum <= u.u
 """
 
 TOP_INNER_PRODUCTS = """
@@ -35,8 +35,8 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM k WHERE plac
 """
 
 
-def url_filters(rules, damping: float = 0.85, rounds: int = 8) -> str:
-    """The rounds of both rankings unrolled into common table expressions."""
+def url_filters(rules, damping: float = 0.6, family: float = 0.25, rounds: int = 28) -> str:
+    """Personalised PageRank as defined, its rounds unrolled: what does not move along an edge starts from the seeds again; the scores of a kind sum to its seeds."""
     longest = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in longest]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
@@ -45,16 +45,18 @@ def url_filters(rules, damping: float = 0.85, rounds: int = 8) -> str:
 WITH a AS (SELECT page_id, coalesce(html, '') AS html, {rest} AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
 b AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM a),
 j AS (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS rv FROM b),
-lk AS (SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst FROM b),
+lk AS (SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1)), '{UPPER}', '{LOWER}') AS dst FROM b),
 h AS (SELECT host FROM b WHERE host <> '' UNION SELECT dst FROM lk),
 f1 AS (SELECT host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS up FROM h), f2 AS (SELECT host, up FROM f1 WHERE up <> '' UNION SELECT up, regexp_extract(up, '^[^.]+\\.(.+\\..+)$', 1) FROM f1 WHERE up <> ''),
-e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM lk UNION ALL SELECT host, up FROM f2 UNION ALL SELECT up, host FROM f2) WHERE src <> '' AND dst <> '' AND src <> dst)"""
+e AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM lk UNION ALL SELECT host, up, {family!r} FROM f2 UNION ALL SELECT up, host, {family!r} FROM f2) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2)"""
     for name, verdict, src, dst in (("t", "allow", "src", "dst"), ("x", "block", "dst", "src")):
         sql += f""",
-{name}e AS (SELECT {src} AS src, {dst} AS dst, count(*) OVER (PARTITION BY {src}) AS deg FROM e), {name}s AS (SELECT host, CAST(1 AS DOUBLE) / count(*) OVER () AS base FROM (SELECT DISTINCT host FROM j WHERE rv = '{verdict}' AND host <> '')), {name}0 AS (SELECT host, base AS score FROM {name}s)"""
+{name}e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, {damping!r} * w / sum(w) OVER (PARTITION BY {src}) AS share FROM e), {name}0 AS MATERIALIZED (SELECT DISTINCT host, CAST(1 AS DOUBLE) AS score FROM j WHERE rv = '{verdict}' AND host <> '')"""
         for k in range(rounds):
             sql += f""",
-{name}{k + 1} AS (SELECT coalesce(s.host, m.host) AS host, round(coalesce(base, 0) * {1 - damping!r} + coalesce(got, 0) * {damping!r}, 12) AS score FROM {name}s s FULL JOIN (SELECT dst AS host, sum(score / deg) AS got FROM {name}e JOIN {name}{k} r ON r.host = src GROUP BY 1) m ON m.host = s.host)"""
+{name}m{k} AS MATERIALIZED (SELECT dst AS host, sum(score * share) AS got FROM {name}e JOIN {name}{k} r ON r.host = src GROUP BY 1),
+{name}{k + 1} AS MATERIALIZED (SELECT host, sum(got) AS score FROM (SELECT host, got FROM {name}m{k} UNION ALL SELECT host, 1 - (SELECT coalesce(sum(got), 0) FROM {name}m{k}) / (SELECT count(*) FROM {name}0) FROM {name}0) GROUP BY 1)"""
+    rounded = lambda c: f"CAST(format('{{:.5e}}', coalesce({c}, CAST(0 AS DOUBLE))) AS DOUBLE)"
     return sql + f"""
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(rv, CASE WHEN coalesce(x.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(rv, CASE WHEN {rounded('x.score')} > {rounded('t.score')} THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN x{rounds} x ON x.host = j.host"""

@@ -3,7 +3,8 @@
 Rules (host, path) settle the urls they fit, the longest rule first. Hosts with a page that an allow rule settles are
 trusted seeds, hosts with a page that a block rule settles are blocked seeds. Personalised PageRank spreads trust
 along host edges and distrust against them; a url that no rule fits is judged by its host's two scores.
-Host edges are absolute links in the pages, plus an edge each way between a host and its parent domain.
+Host edges are links in the pages that name a host, plus a lighter edge each way between a host and its parent domain. Both scores
+are on one scale: a seed's own share of either counts alike.
 """
 
 from __future__ import annotations
@@ -39,49 +40,48 @@ def best_rule(host, path, rules=RULES):
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst): absolute links in html, and host <-> parent domain where that has two labels or more.
+def host_edges(pages: DataFrame, family: float = 0.25) -> DataFrame:
+    """src, dst, weight: links in html that name a host (with or without a scheme) weigh 1; host <-> parent domain, where that has two labels or more, weighs `family`.
 
     Links are made distinct inside a page first; a host with very many pages sends partial results only.
     """
-    link = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)(?:href|src)\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""), F.lit(1))
+    link = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""), F.lit(1))
     linked = pages.select("host", F.explode(F.array_distinct(F.transform(link, lambda x: F.translate(x, UPPER, LOWER)))).alias("to")).distinct()
     hosts = pages.select("host").union(linked.select("to")).where("host <> ''").distinct()
-    parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
-    family = hosts.select("host", parent.alias("to")).where("to <> ''")
-    grand = family.select(F.col("to").alias("host"), F.regexp_extract("to", r"^[^.]+\.(.+\..+)$", 1).alias("to")).where("to <> ''")
-    family = family.union(grand)
-    both = linked.select(F.col("host").alias("src"), F.col("to").alias("dst")).union(family).union(family.select("to", "host"))
-    return both.where("src <> '' and dst <> '' and src <> dst").distinct()
+    parent = lambda c: F.regexp_extract(c, r"^[^.]+\.(.+\..+)$", 1).alias("to")
+    near = hosts.select("host", parent("host")).where("to <> ''")
+    near = near.union(near.select(F.col("to").alias("host"), parent("to")).where("to <> ''"))
+    every = linked.withColumn("weight", F.lit(1.0)).union(near.union(near.select("to", "host")).withColumn("weight", F.lit(family)))
+    return every.where("host <> '' and to <> '' and host <> to").groupBy(F.col("host").alias("src"), F.col("to").alias("dst")).agg(F.max("weight").alias("weight"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, name: str) -> DataFrame:
-    """Personalised PageRank of each kind over edges(kind, src, dst) from seeds(kind, host): (kind, host, score). Mass at hosts without outgoing edges goes back to the seeds.
+    """Personalised PageRank of each kind over edges(kind, src, dst, weight) from seeds(kind, host): (kind, host, score). The scores of a kind sum to its number of seeds, so
+    that a seed of either kind counts alike; mass at hosts without outgoing edges goes back to the seeds.
 
     Rounds go on until no score rises by more than its tolerance-th part in four of them, so every host that a seed reaches
     has one. Scores add up from below; mass lost meanwhile at hosts without outgoing edges would start from the seeds
     again, which multiplies every score of a kind by the same number: one division by the total at the end gives it back.
     Scores are rounded to 6 significant digits then, so the order of sums cannot show.
     """
-    degree = edges.groupBy("kind", "src").agg(F.count("*").alias("deg"))
-    out = saved(edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", "deg"), f"{name}-edges")
+    degree = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
+    out = saved(edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("all") * damping).alias("share")), f"{name}-edges")
     start = saved(seeds.select("kind", "host").distinct(), f"{name}-seeds")
-    sizes = start.groupBy("kind").agg(F.count("*").alias("n"))  # a row for each kind
-    base = start.join(F.broadcast(sizes), "kind").select("kind", "host", (F.lit(1 - damping) / F.col("n")).alias("base"))
-    rank = base.withColumnRenamed("base", "score")
-    rising = True
+    base = start.withColumn("score", F.lit(1 - damping))
+    rank, rising = base, True
     while rising:
         was = rank.withColumnRenamed("score", "before")
         for _ in range(4):
-            moved = out.join(rank, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-            rank = base.join(moved, ["kind", "host"], "full").select("kind", "host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("got", F.lit(0.0)) * F.lit(damping)).alias("score"))
+            moved = out.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
+            rank = moved.union(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         rank = saved(rank, name)
         rising = rank.join(was, ["kind", "host"], "left").where(F.col("score") - F.coalesce("before", F.lit(0.0)) > F.col("score") * tolerance).limit(1).count()
-    total = rank.groupBy("kind").agg(F.sum("score").alias("total"))
-    return rank.join(F.broadcast(total), "kind").select("kind", "host", F.format_string("%.5e", F.col("score") / F.col("total")).cast("double").alias("score"))
+    total = rank.groupBy("kind").agg(F.sum("score").alias("total")).join(start.groupBy("kind").agg(F.count("*").alias("n")), "kind")
+    # total: a row for each of two kinds
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", F.format_string("%.5e", F.col("score") * F.col("n") / F.col("total")).cast("double").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-7, margin: float = 0.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.6, tolerance: float = 1e-4, margin: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages(page_id, url, html).
 
     A url without rule is blocked where its host's distrust exceeds its trust by more than margin, else allowed (so
@@ -94,7 +94,7 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance:
     edges = saved(host_edges(p), "host-edges")
     kinds = F.when(F.col("fit.verdict") == "allow", "trust").when(F.col("fit.verdict") == "block", "distrust")
     seeds = judged.select(kinds.alias("kind"), "host").where("kind is not null and host <> ''")
-    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), "dst", "src"))
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
     scores = saved(spread(ways, seeds, damping, tolerance, "host-ranks").groupBy("host").agg(of("trust"), of("distrust")), "host-scores")
     return judged.join(scores, "host", "left").select(
