@@ -43,7 +43,7 @@ def poisson_cdf(rate, highest: float):
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = 7, size: float = 1.0, highest: float = 20.0, shuffle: bool = True) -> DataFrame:
-    """Rows of docs repeated by Poisson draws so that sources reach their target shares; adds copy and mix_key.
+    """Rows of docs repeated by Poisson draws so that sources reach their target shares; adds copy and mix_key, in the place of any columns so named.
 
     targets: weights by source (None: equal); sources not named get 0. size: expected rows out / rows in.
     highest: greatest mean of one draw; a document of a source with a greater one has several. copy counts from 0 within a
@@ -51,24 +51,23 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed:
     Null source: a source of its own (targets cannot name it). Null doc_id hashes as 'null'; repeated rows draw
     alike. Null or empty texts count like others. Rows come in the order of mix_key within range partitions, ties by doc_id and copy.
     """
-    names = docs.columns
+    # The row as one column: no name in it can meet one of ours.
+    names = [c for c in docs.columns if c not in ("copy", "mix_key")]
     rates = source_rates(docs.select("source"), targets, size)
     # Draws of mean highest, and one of the rest (not 0 unless the rate is).
-    whole = F.greatest(F.ceil(F.col("rate") / F.lit(float(highest))) - 1, F.lit(0))
-    rates = rates.select(F.col("source").alias("__source"), "rate", whole.cast("long").alias("__whole"))
-    full = F.when(F.col("__whole") > 0, poisson_cdf(F.lit(float(highest)), highest))
-    rates = rates.select("__source", "__whole", full.alias("__full"), poisson_cdf(F.col("rate") - F.col("__whole") * F.lit(float(highest)), highest).alias("__cdf"))
-    d = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
+    whole = F.greatest(F.ceil(F.col("rate") / F.lit(float(highest))) - 1, F.lit(0)).cast("long")
+    full = F.when(F.col("whole") > 0, poisson_cdf(F.lit(float(highest)), highest))
+    rates = rates.withColumn("whole", whole).select("source", "whole", full.alias("full"), poisson_cdf(F.col("rate") - F.col("whole") * F.lit(float(highest)), highest).alias("cdf"))
+    d = docs.select(F.struct(*names).alias("row")).join(rates, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
     # Most documents have one draw; the others become a row for each.
-    d = d.withColumn("__draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole"))))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    d = d.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+    ident = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     # Inversion: as many repetitions as values of the distribution function that the uniform number reaches.
-    first = F.col("__draw") == 0
-    draw = F.array(hash_unit(F.lit(f"count{seed}"), ident, F.when(~first, F.col("__draw").cast("string"))))
-    d = d.withColumn("__n", F.get(F.transform(draw, lambda u: F.size(F.filter(F.when(first, F.col("__cdf")).otherwise(F.col("__full")), lambda c: c <= u))), 0)).where("__n > 0")
+    first = F.col("draw") == 0
+    unit = F.array(hash_unit(F.lit(f"count{seed}"), ident, F.when(~first, F.col("draw").cast("string"))))
+    d = d.withColumn("n", F.get(F.transform(unit, lambda u: F.size(F.filter(F.when(first, F.col("cdf")).otherwise(F.col("full")), lambda c: c <= u))), 0)).where("n > 0")
     # No draw has more than the values that a distribution function lists.
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    d = d.withColumn("copy", (F.col("__draw") * F.size("__cdf") + F.col("copy")).cast("int"))
-    d = d.withColumn("mix_key", hash_unit(F.lit(f"order{seed}"), ident, F.col("copy").cast("string")))
-    d = d.select(*names, "copy", "mix_key")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    d = d.withColumn("copy", (F.col("draw") * F.size("cdf") + F.col("copy")).cast("int"))
+    d = d.select(*[F.col("row").getField(c).alias(c) for c in names], "copy", hash_unit(F.lit(f"order{seed}"), ident, F.col("copy").cast("string")).alias("mix_key"))
     return d.orderBy("mix_key", "doc_id", "copy") if shuffle else d

@@ -41,7 +41,7 @@ def op6_url_filters(spark, sf_dir):
 
 
 def op7_mix_sources(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "copy", "mix_key")
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op8_secret_scans(spark, sf_dir):
