@@ -57,34 +57,31 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """docs with boilerplate lines cut out of text; adds n_lines and n_removed. Every row stays, in whatever it has left.
 
-    docs has doc_id, text and source (the site); other columns are kept as they are. Null text stays null, with
+    docs has doc_id, text and source (the site); other columns are kept as they are, but for any named n_lines or n_removed, whose place the
+    new ones take. Null text stays null, with
     0 lines; blank lines are neither counted nor removed. A null source is a site of its own. Repeated rows count
     once as texts, and each loses the same lines. An empty table gives an empty one.
     """
     bad = boilerplate_lines(docs, min_sites)
-    cut = _occurrences(docs).select("doc", "line").join(bad, "line", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("__bad"))
-    d = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    d = d.join(cut.withColumnRenamed("doc", "__cut"), F.col("__doc") == F.col("__cut"), "left")
-    lines = _lines(F.col("text"))
-    drop = lambda x: (F.trim(x) != "") & F.array_contains("__bad", F.xxhash64(F.trim(x)))
-    kept = F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: ~drop(x)), "\n"))
-    d = d.withColumns(
-        {
-            "n_lines": F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long"),
-            "n_removed": F.when(F.col("__bad").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, drop))).cast("long"),
-        }
-    ).withColumn("text", kept)
-    return d.drop("__doc", "__cut", "__bad")
+    cut = _occurrences(docs).select("doc", "line").join(bad, "line", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("bad"))
+    # The row as one column: no name in it can meet one of ours.
+    d = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.xxhash64("row.doc_id", "row.text"))
+    d = d.join(cut, F.col("id") == F.col("doc"), "left").select("row", "bad", _lines(F.col("row.text")).alias("parts"))
+    drop = lambda x: (F.trim(x) != "") & F.array_contains("bad", F.xxhash64(F.trim(x)))
+    text = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter("parts", lambda x: ~drop(x)), "\n"))
+    return d.select(
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.size(F.filter("parts", lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
+        F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.size(F.filter("parts", drop))).cast("long").alias("n_removed"),
+    )
 
 
 #: The same by exact counts alone.
 SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-l AS (SELECT rid, doc_id, text, site, trim(unnest(parts)) AS line, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw FROM d),
-c AS (SELECT *, coalesce(CASE WHEN lag(line) OVER w <> '' THEN 'x' || lag(line) OVER w END, '') AS prev, coalesce(CASE WHEN lead(line) OVER w <> '' THEN 'x' || lead(line) OVER w END, '') AS next FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)),
-bad AS (SELECT line FROM c WHERE line <> '' GROUP BY line
-  HAVING count(DISTINCT site) >= 10 AND count(DISTINCT (prev, next)) >= greatest(10, 0.5 * count(DISTINCT text))),
+l AS (SELECT rid, text, site, trim(unnest(parts)) AS line, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw FROM d),
+bad AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 10),
 k AS (SELECT rid, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE line IN (SELECT line FROM bad)) AS n_removed,
-  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (SELECT line FROM bad)), '') AS kept FROM c GROUP BY rid)
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (SELECT line FROM bad)), '') AS kept FROM l GROUP BY rid)
 SELECT d.doc_id, k.n_lines, k.n_removed, CASE WHEN d.text IS NOT NULL THEN k.kept END AS text FROM d JOIN k USING (rid)
 """
