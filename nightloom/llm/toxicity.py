@@ -13,7 +13,7 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 24
@@ -58,8 +58,12 @@ def vocabulary(texts: list[list[str]]) -> tuple[list[np.ndarray], dict[str, np.n
     """Texts as rows of their distinct words (row 0 is padding), and of the rows: bucket, grams in one array, their starts and counts."""
     rows: dict[str, int] = {}
     ids = [np.array([rows.setdefault(w, len(rows) + 1) for w in t], np.int64) for t in texts]
-    grams, counts = grams_of(list(rows))
-    grams, counts = np.append(0, grams), np.append(1, counts)
+    words, grams, counts = list(rows), [np.zeros(1, np.int32)], [np.ones(1, np.int64)]
+    for at in range(0, len(words), 20_000):
+        g, n = grams_of(words[at : at + 20_000])
+        grams.append(g.astype(np.int32))
+        counts.append(n)
+    grams, counts = np.concatenate(grams), np.concatenate(counts)
     return ids, {"buckets": np.array([0, *map(word_bucket, rows)]), "grams": grams, "counts": counts, "starts": np.cumsum(counts) - counts}
 
 
@@ -241,8 +245,9 @@ def train(texts: list[str | None], labels: list[int], steps: int = 450, batch: i
         if epoch:
             score = _all_logits(net, v, every)
         else:
-            x = net.inputs(v["buckets"], v["grams"], counts)
-            score = (x[:, 0] + x[:, EMBED])[every].max(axis=1)  # the first dimensions hold the evidence of words and grams
+            # The first dimensions hold the evidence of words and grams.
+            chars = np.add.reduceat(net.p["gram"][:, 0][v["grams"]], v["starts"]) / np.sqrt(counts)
+            score = (net.p["word"][v["buckets"], 0] + chars)[every].max(axis=1)
         picks = []
         for k in learn:
             s = score[first[k] : first[k + 1]]
@@ -272,7 +277,10 @@ def train(texts: list[str | None], labels: list[int], steps: int = 450, batch: i
 
 
 def _all_logits(net: Network, v: dict, every: np.ndarray) -> np.ndarray:
-    table = net.projected(net.inputs(v["buckets"], v["grams"], v["counts"]))
+    table, ends = np.empty((len(v["buckets"]), 6 * HIDDEN), np.float32), v["starts"] + v["counts"]
+    for lo in range(0, len(table), 20_000):
+        hi = min(lo + 20_000, len(table))
+        table[lo:hi] = net.projected(net.inputs(v["buckets"][lo:hi], v["grams"][v["starts"][lo] : ends[hi - 1]], v["counts"][lo:hi]))
     return np.concatenate([net.logits(table, every[k : k + 4096]) for k in range(0, len(every), 4096)])
 
 
@@ -335,23 +343,28 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5) -> Network | None:
-    """A network from a bounded sample of labelled documents: at most `most` of each label, by hash of the id, held-out rows left out."""
+def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5, characters: int = 12_000_000) -> Network | None:
+    """A network from a bounded sample of labelled documents: at most `most` of each label, by hash of the id, held-out rows left out, and of each label as many
+    whole texts in that order as have `characters` together (a longer one is passed over), so that the driver's share is bounded too."""
     given = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # at most 2 * most rows of two numbers
-    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.collect())
+    length = F.coalesce(F.length("text"), F.lit(0))
+    fits = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` ids a label
+    sample = sample.where(length <= characters).withColumn("so_far", F.sum(length).over(fits)).where(F.col("so_far") <= characters)
+    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.select("doc_id", "text", "toxic").collect())
     return train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
-    """docs with score (0 to 1, higher: likelier toxic) and predicted (1 from 0.7 on); every row and column stays.
+    """docs with score (0 to 1, higher: likelier toxic) and predicted (1 from 0.7 on); every row and column stays, but for any named score or predicted, which these replace.
 
     docs has doc_id and text, labels doc_id and toxic. Whole texts are read, in overlapping windows. Null or empty texts and those
     without a letter score 0. Rows with null ids are scored, not learnt from; repeated rows score alike; of contradictory labels the toxic one holds.
     Without labels of both kinds nothing can be learnt and every score is 0. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, most))
+    docs = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     names = docs.columns
 
     def run(batches):
