@@ -1,9 +1,10 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
 A candidate is a run of 16 or more token characters with a digit; a word (minified text is one) may hold many. Its features:
-length, transitions between character classes and within letters, entropy, how much of it dictionary words cover, whether
+length, transitions between character classes and within letters, entropy, how much of its letters are words of a dictionary counted over the corpus, whether
 its path (here the source) and what stands beside it speak of keys, of tests or of other data: the words beside, and inside
-a word with several runs the text up to the runs beside. A random forest trained on labelled findings scores it.
+a word with several runs the text up to the runs beside. A random forest trained on labelled findings scores it. Where no labelled findings are given, they are
+planted: keys of known kinds and look-alikes of other kinds, made from hashes, stand among words of the corpus, and the label is what was planted.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightloom.llm.common import saved
+
 SHAPE = r"[A-Za-z0-9+/_=-]{16,}"
 
 # Words beside or in front of a secret, and words of examples.
@@ -19,13 +22,17 @@ TEST_WORDS = ["test", "example", "sample", "dummy", "fake", "mock", "placeholder
 
 BESIDE = 40  # characters of a word that count as beside a run inside it
 
-# Common words for dictionary coverage.
-DICTIONARY = ["the", "and", "ing", "tion", "that", "with", "for", "this", "from", "are", "was", "have", "not", "name", "user", "data", "file", "path", "page", "html", "http", "www", "com", "mail", "example", "test", "version", "value", "index", "image", "content", "string", "number", "default", "license", "token", "secret", "password", "key"]
-
 FEATURES = ["length", "class_changes", "letter_runs", "distinct_share", "entropy", "digit_share", "hex_only", "upper_share", "dictionary", "key_path", "test_path", "key_before", "key_near", "assigned", "quoted", "test_near"]
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+def corpus_dictionary(docs: DataFrame, most: int = 400, least: int = 4) -> list[str]:
+    """The `most` words of `least` or more ASCII letters that most texts have (the bound), over all texts."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z\u0080-\uffff]+", -1))
+    counts = docs.select(F.explode(F.filter(words, lambda w: w.rlike(f"^[a-z]{{{least},24}}$"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def candidates(docs: DataFrame, path: str = "source", dictionary: list[str] | None = None) -> DataFrame:
     """doc_id, word (place among white-space words, from 0), run (place among the word's runs of SHAPE, from 0), candidate, and FEATURES."""
     words = F.split(F.coalesce("text", F.lit("")), r"\s+", -1)
     d = docs.select("doc_id", F.lower(F.coalesce(F.col(path).cast("string"), F.lit(""))).alias("path"), words.alias("w"))
@@ -59,7 +66,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
     entropy = F.reduce(each, F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
     low = F.lower(c)
-    covered = n - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))
+    named = sorted({*KEY_WORDS, *TEST_WORDS, *(dictionary or [])}, key=lambda w: (-len(w), w))
+    covered = n - F.length(F.regexp_replace(low, "|".join(named), ""))
     has = lambda col, words: F.when(col.rlike("(" + "|".join(words) + ")"), 1.0).otherwise(0.0)
     beside = F.concat_ws(" ", "b2", "b1", "a1")
     return d.select(
@@ -86,20 +94,59 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     )
 
 
-def labelled_by_rule(found: DataFrame) -> DataFrame:
-    """Labelled findings where none are given: a secret is assigned to a key word and of high entropy; a finding
-    with no sign of either is false; what lies between stays unlabelled."""
-    label = F.when((F.col("key_before") == 1) & (F.col("assigned") == 1) & (F.col("entropy") >= 3) & (F.col("test_near") == 0), 1.0).when((F.col("key_near") == 0) | (F.col("entropy") < 2.5), 0.0)
-    return found.withColumn("label", label).where("label is not null")
+def _pools(seed):
+    """Snippets of a planted row by kind, (label, text before, core, text after), from a hash that differs by row."""
+    h = lambda k, bits=256: F.sha2(F.concat_ws(":", F.lit(k), seed), bits)
+    mixed = lambda k: F.regexp_replace(F.base64(F.unhex(h(k, 512))), "[+/=]", "")
+    upper = lambda k: F.translate(F.upper(h(k)), "0123456789ABCDEF", "Q7ZK2MXB5WNRT4YD")
+    digits = lambda k, n: F.translate(F.substring(h(k), 1, n), "abcdef", "274519")
+    words = lambda *k: F.concat_ws("-", *[F.element_at(F.array(*[F.lit(w) for w in ("blue", "river", "annual", "report", "market", "review", "garden", "winter")]), (F.pmod(F.crc32(h(x).cast("binary")), F.lit(8)) + 1).cast("int")) for x in k])
+    keys = [
+        ("token = \"", F.substring(h("a"), 1, 40), "\""),
+        ("TOKEN = \"", F.upper(F.substring(h("b"), 1, 40)), "\""),
+        ("api_key: ", F.substring(mixed("c"), 1, 32), ""),
+        ("aws_access_key_id=", F.concat(F.lit("AKIA"), F.substring(upper("d"), 1, 16)), ""),
+        ("password='", F.substring(mixed("e"), 1, 20), "'"),
+        ("Authorization: Bearer ", F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9"), F.substring(mixed("f"), 1, 40)), ""),
+        ("{\"user\":\"x\",\"secret\":\"", F.substring(mixed("g"), 1, 40), "\"}"),
+        ("", F.concat(F.lit("ghp_"), F.substring(mixed("h"), 1, 36)), ""),
+    ]
+    others = [
+        ("commit ", F.substring(h("i"), 1, 40), ""),
+        ("sha256 checksum ", h("j"), ""),
+        ("", digits("k", 16), ""),
+        ("call ", digits("l", 18), ""),
+        ("https://www.example.com/", F.concat(words("m", "n", "o", "p"), F.lit("-20"), digits("q", 2)), ".html"),
+        ("src=\"data:image/png;base64,", F.concat(F.lit("iVBORw0KGgoAAAANSUhEUg"), mixed("r")), "\""),
+        ("name: ", F.concat(F.lit("user_profile_"), F.translate(words("s", "t"), "-", "_"), F.lit("_v"), digits("u", 1)), ""),
+        ("token count ", digits("v", 17), ""),
+        ("etag: \"", F.concat(F.substring(h("w"), 1, 8), F.lit("-"), F.substring(h("x"), 1, 16)), "\""),
+        ("test token = \"", F.concat(F.lit("example"), F.translate(words("y", "z"), "-", ""), F.lit("0123456789")), "\""),
+    ]
+    return [(1.0, *x) for x in keys] + [(0.0, *x) for x in others]
+
+
+def planted_findings(docs: DataFrame, path: str = "source", dictionary: list[str] | None = None, texts: int = 400) -> DataFrame:
+    """Labelled findings: FEATURES, label, fold (0 to 4, by text). Each of at most `texts` texts of the corpus (the bound; by hash of the text) lends some of its words to stand around a
+    key or look-alike of each kind. The label is what was planted, whatever the features say."""
+    part = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: ~w.rlike(SHAPE))
+    some = docs.where("text <> ''").select(F.xxhash64("text").alias("h"), F.col(path).cast("string").alias(path), F.slice(part, 1, 12).alias("w")).dropDuplicates(["h"]).orderBy("h").limit(texts)
+    pools = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(before).alias("before"), core.alias("core"), F.lit(after).alias("after")) for label, before, core, after in _pools(F.col("h").cast("string"))])
+    made = some.select("h", path, "w", F.posexplode(pools).alias("kind", "x"))
+    half = F.pmod(F.col("h") + F.col("kind"), F.lit(7)).cast("int")
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), half), F.concat("x.before", "x.core", "x.after"), F.slice("w", half + 1, F.lit(12)))
+    made = made.select(F.struct("h", "kind", "x.core", "x.label").alias("doc_id"), path, text.alias("text"))
+    found = candidates(made, path, dictionary).where(F.col("doc_id.core").contains(F.col("candidate")) | F.col("candidate").contains(F.col("doc_id.core")))
+    return found.select(*FEATURES, "candidate", F.col("doc_id.kind").alias("kind"), F.col("doc_id.label").alias("label"), F.pmod(F.col("doc_id.h"), F.lit(5)).cast("int").alias("fold"))
 
 
 def train_forest(labelled: DataFrame, most: int = 4000, trees: int = 20, depth: int = 5, seed: int = 3):
-    """A random forest from FEATURES and label, on at most `most` labelled findings of each label (the bound; by hash order). None without both labels."""
+    """A random forest from candidate, FEATURES and label, on at most `most` labelled findings of each label (the bound; by hash order). None without both labels."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    order = F.xxhash64("candidate", "word", "doc_id")
+    order = F.xxhash64("candidate")
     pick = lambda v: labelled.where(F.col("label") == v).select(*FEATURES, "label", order.alias("h")).orderBy("h", *FEATURES).limit(most).drop("h")
     sample = pick(0.0).union(pick(1.0)).cache()
     if sample.select("label").distinct().count() < 2:
@@ -113,15 +160,16 @@ def train_forest(labelled: DataFrame, most: int = 4000, trees: int = 20, depth:
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, word, run, candidate, length, entropy, score, is_secret: a row for each candidate of each row of docs.
 
-    labelled: findings with FEATURES and label (1 secret, 0 not); without them the rule above labels a part of the
-    corpus' own. Without both labels the score is the share of key_before, assigned and entropy signs.
+    labelled: findings with candidate, FEATURES and label (1 secret, 0 not); without them planted ones train the forest. Where there are not both labels (an
+    empty table among others) the score is the share of key_before, assigned and entropy signs.
     Null or empty texts have no candidates; null path and doc_id are allowed; repeated rows repeat their findings. Other
     columns are not carried. An empty table gives an empty one.
     """
     from pyspark.ml.functions import vector_to_array
 
-    found = candidates(docs, path)
-    model = train_forest(labelled_by_rule(found) if labelled is None else labelled)
+    dictionary = corpus_dictionary(docs)
+    found = candidates(docs, path, dictionary)
+    model = train_forest(saved(planted_findings(docs, path, dictionary), "planted") if labelled is None else labelled)
     if model is None:
         scored = found.withColumn("score", (F.col("key_before") + F.col("assigned") + F.least(F.col("entropy") / 4, F.lit(1.0))) / 3)
     else:
