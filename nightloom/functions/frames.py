@@ -41,16 +41,19 @@ def master_key(obj: Column) -> Column:
     return F.concat_ws("|", F.lit("master"), obj)
 
 
-def classify(planes: Column, width: Column, height: Column, stack_count: Column | None = None) -> Column:
-    """struct(kind, reason): Master where it counts stacked frames or has three planes, Unreadable without dimensions, else Light."""
-    counted = stack_count.isNotNull() if stack_count is not None else F.lit(False)
-    kind = F.when((width <= 0) | (height <= 0), "Unreadable").when(counted | (planes == 3), "Master").otherwise("Light")
-    reason = (
-        F.when((width <= 0) | (height <= 0), "no image dimensions")
-        .when(counted, F.concat(F.lit("stack of "), stack_count.cast("string"), F.lit(" frames")) if stack_count is not None else F.lit(""))
-        .when(planes == 3, "three colour planes")
-        .otherwise("")
-    )
+def classify(planes: Column, width: Column, height: Column, stack_count: Column | None = None, image_type: Column | None = None, bayer: Column | None = None) -> Column:
+    """struct(kind, reason): Master where it counts stacked frames or has three planes, even without dimensions; else Unreadable without them, else Light.
+    The reason names the header values that decided."""
+    absent = F.lit(None).cast("string")
+    count = absent if stack_count is None else stack_count
+    header = lambda c, none: F.trim(F.coalesce(absent if c is None else c, F.lit(none)))
+    rules = [
+        (count.isNotNull(), "Master", F.format_string("STACKCNT = %s, NAXIS3 = %s", count.cast("string"), planes.cast("string"))),
+        (planes == 3, "Master", F.format_string("NAXIS3 = %s, already colour", planes.cast("string"))),
+        ((width <= 0) | (height <= 0), "Unreadable", F.lit("no image dimensions")),
+        (F.lit(True), "Light", F.format_string("IMAGETYP = %s, single plane, BAYERPAT = %s", header(image_type, "?"), header(bayer, "none"))),
+    ]
+    kind, reason = (F.coalesce(*[F.when(rule[0], rule[k]) for rule in rules]) for k in (1, 2))
     return F.struct(kind.alias("kind"), reason.alias("reason"))
 
 

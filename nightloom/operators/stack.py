@@ -149,6 +149,12 @@ def drizzle(samples: DataFrame, keys: list[str], scale: int, width: int, height:
     return s.groupBy(*keys, "channel", "oy", "ox").agg((F.sum(F.col("v") * area) / F.sum(area)).alias("v"), F.sum(area).alias("weight"))
 
 
+def drizzle_empty(drizzled: DataFrame, keys: list[str], scale: int, width: int, height: int, channels: int = 3) -> DataFrame:
+    """keys, empty_pct: the percentage of a drizzled grid's cells, over all channels, that no sample reached."""
+    cells = channels * width * scale * height * scale
+    return drizzled.groupBy(*keys).agg((100 * (1 - F.count(F.when(F.col("weight") > 0, 1)) / F.lit(float(cells)))).alias("empty_pct"))
+
+
 def metrics(frames: DataFrame, by: list[str]) -> DataFrame:
     """by, used, failed, rotation range, drift and integration from frames(by, ok, rotation, tx, ty, exptime)."""
     ok = lambda c: F.when(F.col("ok"), c)

@@ -29,18 +29,18 @@ def gaps(frames: DataFrame, keys, threshold: int = 120) -> DataFrame:
 
 
 def sessions(frames: DataFrame, project: str = "project_id") -> DataFrame:
-    """Runs of frames of one night: first frame, count, kept, exptime of the first, start and end."""
-    w = Window.partitionBy(project).orderBy("second", "frame_id")
-    changed = F.when(F.lag("night").over(w) == F.col("night"), 0).otherwise(1)
-    runs = frames.withColumn("changed", changed).withColumn("session", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of frames of one night: first frame, count, kept, exptime of the first, start and end.
+
+    A night follows from the time, so the runs of a project are its nights: they are summed apart, and only these rows are numbered in order.
+    """
     first = F.min(F.struct("second", "frame_id", "exptime"))
-    out = runs.groupBy(project, "session").agg(
-        F.min("night").alias("night"),
+    nights = frames.groupBy(project, "night").agg(
         first.alias("f"),
         F.count("*").alias("frames"),
         F.sum(F.when(~F.col("rejected"), 1).otherwise(0)).alias("kept"),
         F.max("second").alias("end_second"),
     )
+    out = nights.withColumn("session", F.row_number().over(Window.partitionBy(project).orderBy("f.second", "f.frame_id")).cast("long"))
     return out.select(project, "session", "night", F.col("f.frame_id").alias("first_frame"), F.col("f.exptime").alias("exptime"), "frames", "kept", F.col("f.second").alias("start_second"), "end_second")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import frames as ff
-from nightloom.functions.robust import upper_mad, upper_median, wide_mad
+from nightloom.functions.robust import upper_mad, upper_median, wide_mad, wide_median
 from nightloom.operators import triage as T
 
 QUERIES: dict = {}
@@ -67,12 +67,15 @@ def prj_keys(spark, sf_dir):
 
 
 def scanned(spark, sf_dir):
-    k = keyed(spark, sf_dir).withColumn("c", ff.classify(F.col("planes"), F.col("width"), F.col("height")))
+    i = F.col("frame_id")
+    k = keyed(spark, sf_dir).withColumn("c", ff.classify(F.col("planes"), F.col("width"), F.col("height"), F.when(i % 500 == 11, i % 90), F.when(i % 6 > 0, "Light "), F.when(i % 7 > 0, "GRBG")))
     return k.withColumns({"kind": F.col("c.kind"), "reason": F.col("c.reason")}).drop("c")
 
 
-SCANNED = KEYED + """, s AS (SELECT *, CASE WHEN width <= 0 OR height <= 0 THEN 'Unreadable' WHEN planes = 3 THEN 'Master' ELSE 'Light' END AS kind,
- CASE WHEN width <= 0 OR height <= 0 THEN 'no image dimensions' WHEN planes = 3 THEN 'three colour planes' ELSE '' END AS reason FROM k)"""
+SCANNED = KEYED + """, t AS (SELECT *, CASE WHEN frame_id % 500 = 11 THEN frame_id % 90 END AS stackcnt, CASE WHEN frame_id % 6 > 0 THEN 'Light' ELSE '?' END AS imagetyp, CASE WHEN frame_id % 7 > 0 THEN 'GRBG' ELSE 'none' END AS bayerpat FROM k),
+ s AS (SELECT *, CASE WHEN stackcnt IS NOT NULL OR planes = 3 THEN 'Master' WHEN width = 0 OR height = 0 THEN 'Unreadable' ELSE 'Light' END AS kind,
+ CASE WHEN stackcnt IS NOT NULL THEN 'STACKCNT = ' || stackcnt || ', NAXIS3 = ' || planes WHEN planes = 3 THEN 'NAXIS3 = 3, already colour' WHEN width = 0 OR height = 0 THEN 'no image dimensions'
+ ELSE 'IMAGETYP = ' || imagetyp || ', single plane, BAYERPAT = ' || bayerpat END AS reason FROM t)"""
 
 
 @query(SCANNED + " SELECT frame_id, kind, reason FROM s")
@@ -259,7 +262,7 @@ def agg_triage(spark, sf_dir):
 @query(F2 + f" SELECT object, {MED.format('hfr')} AS hfr, {MED.format('stars')} AS stars FROM f GROUP BY 1")
 def agg_upper_median(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return f.groupBy("object").agg(upper_median("hfr").alias("hfr"), upper_median(F.col("stars").cast("double")).cast("long").alias("stars"))
+    return wide_median(f, ["object"], "hfr", "hfr").join(wide_median(f, ["object"], "stars", "stars"), "object")
 
 
 @query(F2 + f""", m AS (SELECT object, {MED.format('hfr')} AS median FROM f GROUP BY 1), d AS (SELECT object, median, abs(hfr - median) AS away FROM f JOIN m USING (object))

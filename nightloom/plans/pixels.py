@@ -332,14 +332,27 @@ def agg_stack_compare(spark, sf_dir):
 SHIFT = "CAST(frame_id % 3 AS DOUBLE) / 4"
 
 
-@query(f""", sp AS (SELECT master_id, {COLOUR} AS channel, (x + {SHIFT}) * 2 AS cx, (y + CAST(frame_id % 2 AS DOUBLE) / 2) * 2 AS cy, v, 1.0 + frame_id % 4 AS weight FROM pixels),
+DRIZZLED = f""", sp AS (SELECT master_id, {COLOUR} AS channel, (x + {SHIFT}) * 2 AS cx, (y + CAST(frame_id % 2 AS DOUBLE) / 2) * 2 AS cy, v, 1.0 + frame_id % 4 AS weight FROM pixels),
  o AS (SELECT *, unnest(range(CAST(floor(cy - 0.35) AS BIGINT), CAST(floor(cy + 0.35) AS BIGINT) + 1)) AS oy FROM sp), oo AS (SELECT *, unnest(range(CAST(floor(cx - 0.35) AS BIGINT), CAST(floor(cx + 0.35) AS BIGINT) + 1)) AS ox FROM o),
- a AS (SELECT *, (least(cx + 0.35, ox + 1) - greatest(cx - 0.35, ox)) AS sx, (least(cy + 0.35, oy + 1) - greatest(cy - 0.35, oy)) AS sy FROM oo WHERE oy >= 0 AND oy < 16 AND ox >= 0 AND ox < 16)
+ a AS (SELECT *, (least(cx + 0.35, ox + 1) - greatest(cx - 0.35, ox)) AS sx, (least(cy + 0.35, oy + 1) - greatest(cy - 0.35, oy)) AS sy FROM oo WHERE oy >= 0 AND oy < 16 AND ox >= 0 AND ox < 16)"""
+
+
+@query(DRIZZLED + """
  SELECT master_id, channel, oy, ox, round(sum(v * sx * sy * weight) / sum(sx * sy * weight), 6) AS v, round(sum(sx * sy * weight), 6) AS weight FROM a WHERE sx > 0 AND sy > 0 GROUP BY 1, 2, 3, 4""")
 def agg_drizzle(spark, sf_dir):
+    return drizzled(spark, sf_dir).select("master_id", "channel", "oy", "ox", *R6("v", "weight"))
+
+
+@query(DRIZZLED + """
+ SELECT master_id, round(100 - 100 * count(*) / CAST(3 * 16 * 16 AS DOUBLE), 6) AS empty_pct FROM (SELECT DISTINCT master_id, channel, oy, ox FROM a WHERE sx > 0 AND sy > 0) GROUP BY 1""")
+def agg_drizzle_empty(spark, sf_dir):
+    return S.drizzle_empty(drizzled(spark, sf_dir), ["master_id"], 2, 8, 8).select("master_id", *R6("empty_pct"))
+
+
+def drizzled(spark, sf_dir):
     p = pixels(spark, sf_dir)
     shifted = p.select("master_id", P.mosaic_channel().alias("channel"), (F.col("x") + F.expr(SHIFT)).alias("px"), (F.col("y") + F.col("frame_id") % 2 / 2).alias("py"), "v", (1.0 + F.col("frame_id") % 4).alias("weight"))
-    return S.drizzle(shifted, ["master_id"], 2, 8, 8).select("master_id", "channel", "oy", "ox", *R6("v", "weight"))
+    return S.drizzle(shifted, ["master_id"], 2, 8, 8)
 
 
 def _cubic(values: list[str], t: str) -> str:

@@ -251,7 +251,7 @@ def agg_white_fieldstars(spark, sf_dir):
 @query()
 def agg_white_catalogue(spark, sf_dir):
     w = St.white_catalogue(ratios(spark, sf_dir), "frame_id", white=0.82)
-    return w.select("frame_id", "status", "used", F.round("r", 6).alias("r"), F.round("b", 6).alias("b"), F.round("slope_r", 6).alias("slope_r"))
+    return w.select("frame_id", "status", "used", F.round("r", 6).alias("r"), F.round("b", 6).alias("b"), *[F.round(c, 6).alias(c) for c in ("slope_r", "scatter_r", "scatter_b", "span", "colour")])
 
 
 @query(""", w AS (SELECT frame_id, avg(CASE WHEN star_id % 2 = 0 THEN flux END) / 100 AS s0, avg(CASE WHEN star_id % 2 = 1 THEN flux END) / 90 AS s1, avg(flux) / 95 AS s2, 0.7 + CAST(frame_id % 5 AS DOUBLE) / 10 AS r, 0.8 + CAST(frame_id % 3 AS DOUBLE) / 10 AS b FROM stars GROUP BY 1),

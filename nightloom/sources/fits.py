@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,37 +82,70 @@ def _is_end(block: bytes) -> bool:
     return any(block[k : k + CARD].rstrip() == b"END" for k in range(0, len(block), CARD))
 
 
+def _store(path: str):
+    """(file system, path in it) of a local path or a URI that Arrow reaches: file, s3, gs, hdfs."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def read_header(path: str) -> str | None:
+    """A file's blocks up to the one with END, as text; pixels are not read. None if it can't be opened."""
+    store, at = _store(path)
+    text = b""
+    try:
+        with store.open_input_file(at) as f:
+            while block := f.read(BLOCK):
+                text += block
+                if _is_end(block):
+                    break
+    except OSError:
+        return None
+    return text.decode("ascii", "replace")
+
+
+def headers(paths: DataFrame) -> DataFrame:
+    """path, header of a table of paths, read where its rows are; files that can't be opened are left out."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [(p, h) for p in batch.column(0).to_pylist() if p is not None and (h := read_header(p)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["path", "header"])
+
+    return paths.select("path").mapInArrow(read, "path string, header string")
+
+
 class _Part(InputPartition):
     def __init__(self, paths):
         self.paths = paths
 
 
 class HeaderReader(DataSourceReader):
-    """Reads blocks of a file until the one with END; pixels stay on disk. Paths are local to the workers or on a mounted share."""
+    """Headers of the FITS files below a folder, dealt to so many parts."""
 
     def __init__(self, options):
-        self.paths = sorted(p for p in options.get("paths", "").split("\n") if p)
-        self.parts = int(options.get("parts", "8"))
+        self.folder, self.parts = options["path"], int(options.get("parts", "8"))
 
     def partitions(self):
-        return [_Part(self.paths[k :: self.parts]) for k in range(min(self.parts, len(self.paths)))] or [_Part([])]
+        from pyarrow import fs
+
+        store, at = _store(self.folder)
+        found = store.get_file_info(fs.FileSelector(at, recursive=True))
+        head = self.folder[: len(self.folder) - len(at)] if self.folder.endswith(at) else ""
+        paths = sorted(head + x.path for x in found if x.is_file and x.extension.lower() in ("fit", "fits", "fts"))
+        return [_Part(paths[k :: self.parts]) for k in range(min(self.parts, len(paths)))] or [_Part([])]
 
     def read(self, partition):
         for path in partition.paths:
-            text = b""
-            try:
-                with open(path, "rb") as f:
-                    while block := f.read(BLOCK):
-                        text += block
-                        if _is_end(block):
-                            break
-            except OSError:
-                continue
-            yield path, text.decode("ascii", "replace")
+            header = read_header(path)
+            if header is not None:
+                yield path, header
 
 
 class HeaderSource(DataSource):
-    """spark.read.format("fits_headers").option("paths", newline-separated)."""
+    """spark.read.format("fits_headers").load(folder)."""
 
     @classmethod
     def name(cls):
@@ -206,22 +241,22 @@ def provenance(frames: DataFrame, by: list[str], drizzle: int = 0, full_resoluti
 
 
 def write_masters(planes: DataFrame, folder: str, by: str = "master_id", extra: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """by, path, bytes: each master's pixels(by, channel, y, x, v) as one FITS file in a folder that the workers share."""
+    """by, path, bytes: each master's pixels(by, channel, y, x, v) as one FITS file in a folder of a store that Arrow reaches."""
     kind = planes.schema[by].dataType.simpleString()
 
     def one(key, g):
-        import os
-
         import pandas as pd
 
         image = np.zeros((int(g["channel"].max()) + 1, int(g["y"].max()) + 1, int(g["x"].max()) + 1))
         image[g["channel"], g["y"], g["x"]] = g["v"]
-        os.makedirs(folder.removeprefix("file://"), exist_ok=True)
-        path = f"{folder.removeprefix('file://')}/{key[0]}.fits"
+        store, at = _store(folder)
+        store.create_dir(at)
         data = image_bytes(image, extra)
-        with open(f"{path}.part-{os.getpid()}", "wb") as f:
+        # A file appears whole under its name or not at all, also if a task is tried twice.
+        part = f"{at}/.{key[0]}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as f:
             f.write(data)
-        os.replace(f.name, path)
-        return pd.DataFrame([[key[0], path, len(data)]], columns=[by, "path", "bytes"])
+        store.move(part, f"{at}/{key[0]}.fits")
+        return pd.DataFrame([[key[0], f"{folder}/{key[0]}.fits", len(data)]], columns=[by, "path", "bytes"])
 
     return planes.groupBy(by).applyInPandas(one, f"{by} {kind}, path string, bytes long")

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def staging_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nightloom-")
+    """A new folder's path under the shared checkpoint folder; a temporary one only where none is set and driver and workers are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="nightloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
