@@ -97,9 +97,25 @@ def test_catmull_rom_keeps_whole_shifts_and_planes():
     assert np.isnan(out[0, 0]) and np.allclose(out[3:8, 3:8], (3 * (x + 0.25) - 2 * (y + 0.5))[3:8, 3:8])
 
 
-def test_labels_join_across_rows():
-    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 1]], bool)
-    assert St.label(mask).tolist() == [[1, 0, 0, 2], [0, 1, 0, 2], [0, 0, 0, 0], [3, 3, 0, 4]]
+def blobs_of(mask):
+    """The first pixel of each pixel's blob, by flooding."""
+    first, todo = {}, [tuple(p) for p in np.argwhere(mask).tolist()]
+    for p in todo:
+        stack = [p] if p not in first else []
+        while stack:
+            y, x = stack.pop()
+            if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and (y, x) not in first:
+                first[y, x] = p
+                stack += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return first
+
+
+def test_labels_join_across_rows(spark):
+    spiral = ["###########", "..........#", "#########.#", "#.......#.#", "#.#####.#.#", "#.#...#.#.#", "#.#.###.#.#", "#.#.....#.#", "#.#######.#", "#.........#", "###########", "...........", "#..#.#.#..#", ".##.#.#.##."]
+    masks = [np.array([[c == "#" for c in row] for row in spiral]), noise(30 * 30, 8).reshape(30, 30) > 0.6, noise(30 * 30, 9).reshape(30, 30) > 0.85]
+    rows = [(k, y, x) for k, m in enumerate(masks) for y, x in np.argwhere(m).tolist()]
+    got = {(r["frame_id"], r["y"], r["x"]): tuple(r["first"]) for r in St.labelled(spark.createDataFrame(rows, "frame_id long, y int, x int")).collect()}
+    assert got == {(k, *p): f for k, m in enumerate(masks) for p, f in blobs_of(m).items()}
 
 
 def test_detects_planted_stars(spark):
@@ -116,14 +132,25 @@ def scene(n, seed):
     return p[np.argsort(-p[:, 2])][:, :2] * 1000
 
 
-def test_registration_finds_and_refuses():
+def test_registration_finds_and_refuses(spark):
+    """Frames with a third of the stars gone, with noise, at half a turn, against themselves; and one of another field."""
     ref = scene(130, 5)
-    t = (np.cos(np.radians(3.5)), np.sin(np.radians(3.5)), 22.0, -13.0)
-    src = np.delete(ref, np.arange(5, 125, 3), axis=0)
-    found = St.register(src, St.moved(t, ref))
-    assert found and found[2] < 0.05 and abs(np.degrees(np.arctan2(found[0][1], found[0][0])) - 3.5) < 0.05 and found[1] > 60
-    other = St.register(scene(130, 77), ref)
-    assert other is None or other[1] < 20
+    cases = {1: (3.5, 22.0, -13.0, 0.0), 2: (0.0, 0.0, 0.0, 0.0), 3: (180.0, 900.0, 1000.0, 0.2), 4: (-40.0, -55.5, 610.0, 0.4)}
+    rows = [(9, float(x), float(y), float(-k)) for k, (x, y) in enumerate(scene(130, 77))]
+    for frame, (turn, tx, ty, blur) in cases.items():
+        c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+        u, v = ref[:, 0] - tx, ref[:, 1] - ty
+        jitter = blur * (noise(260, frame).reshape(130, 2) - 0.5)
+        src = np.stack([c * u + s * v, -s * u + c * v], axis=1) + jitter
+        rows += [(frame, float(x), float(y), float(-k)) for k, (x, y) in enumerate(src) if k < 5 or k % 3]
+    source = spark.createDataFrame(rows, "frame_id long, x double, y double, flux double")
+    list_ = spark.createDataFrame([(float(x), float(y), float(-k)) for k, (x, y) in enumerate(ref)], "x double, y double, flux double")
+    found = {r["frame_id"]: r for r in St.register_to(source, list_).collect()}
+    assert set(found) - {9} == set(cases) and (9 not in found or found[9]["inliers"] < 20)
+    for frame, (turn, tx, ty, blur) in cases.items():
+        r = found[frame]
+        assert r["inliers"] > 60 and r["rms"] < 0.05 + blur and abs(r["tx"] - tx) < 0.05 + blur and abs(r["ty"] - ty) < 0.05 + blur
+        assert abs((r["rotation"] - turn + 180) % 360 - 180) < 0.05 and abs(r["scale"] - 1) < 1e-3
 
 
 def test_white_by_catalogue_fails_rather_than_falls_back(spark):
