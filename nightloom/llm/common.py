@@ -73,6 +73,20 @@ def components(edges: DataFrame, name: str, limit: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def released() -> None:
+    """Give memory that Python no longer needs back to the system: workers and the driver live on, and hold what they once took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 SLICE = 4_000_000  # bytes of a batch that are worked on at once
 
 
@@ -95,5 +109,6 @@ def map_lists(df: DataFrame, made, schema: str) -> DataFrame:
                 some = batch.slice(at, step)
                 part = made({n: some.column(k).to_pylist() for k, n in enumerate(some.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(out)], schema=out)
+        released()
 
     return df.mapInArrow(run, kinds)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import components, dropped, saved
+from nightloom.llm.common import components, dropped, released, saved
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
@@ -212,6 +212,7 @@ def _scanned(docs: DataFrame, part_of: int, buckets: int) -> DataFrame:
                 part += 1
                 kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(scan, "kind int, part long, bucket long, doc_id long, n long, h1 long, h2 long, sig binary, docs binary")
 
@@ -277,6 +278,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
                 found = [shingle_set(t) for t in batch.column(1).slice(at, 256).to_pylist()]
                 keys = [(len(s), *set_key(s)) for s in found]
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], pa.int64()) for j in range(3)), pa.array([s.tobytes() for s in found], pa.binary())], names=[*KEY, "tokens"])
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(sets, "n long, h1 long, h2 long, tokens binary")
 
@@ -295,6 +297,7 @@ def _signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
                 sig, role, weight, left = (np.concatenate([m[k] for m in made]) for k in range(4))
                 columns = [np.repeat(ids, [len(m[0]) for m in made]), role.astype(np.int32), sig.view(np.int64), weight.astype(np.int32), left.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        released()
 
     return nodes.select("node", "tokens").mapInArrow(deal, "node long, role int, sig long, weight int, left int")
 

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightloom.llm.common import released
+
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS = 1 << 18, 1 << 17  # hash buckets; 0 is kept for padding
 EMBED, HIDDEN = 8, 8
@@ -281,7 +283,7 @@ def _all_logits(net: Network, v: dict, every: np.ndarray) -> np.ndarray:
     for lo in range(0, len(table), 20_000):
         hi = min(lo + 20_000, len(table))
         table[lo:hi] = net.projected(net.inputs(v["buckets"][lo:hi], v["grams"][v["starts"][lo] : ends[hi - 1]], v["counts"][lo:hi]))
-    return np.concatenate([net.logits(table, every[k : k + 4096]) for k in range(0, len(every), 4096)])
+    return np.concatenate([net.logits(table, every[k : k + 1024]) for k in range(0, len(every), 1024)])
 
 
 def _threshold(top: np.ndarray, y: np.ndarray) -> float:
@@ -298,7 +300,7 @@ def scores(net: Network | None, texts: list[str | None], state: dict) -> list[fl
     """Scores of whole texts. state keeps the input terms of words from call to call (and starts anew when full)."""
     if net is None:
         return [0.0] * len(texts)
-    if len(state.setdefault("rows", {})) > 200_000 or "table" not in state:
+    if len(state.setdefault("rows", {})) > 50_000 or "table" not in state:
         state["rows"], state["table"] = {}, np.zeros((4096, 6 * HIDDEN), np.float32)
     rows, fresh = state["rows"], []
 
@@ -325,10 +327,10 @@ def scores(net: Network | None, texts: list[str | None], state: dict) -> list[fl
         for k, i in enumerate(ids):
             if len(i) and (len(i) < WINDOW) == short:
                 w = windows(i)
-                for lo in range(0, len(w), 4096):
-                    todo.append((k, w[lo : lo + 4096]))
+                for lo in range(0, len(w), 2048):
+                    todo.append((k, w[lo : lo + 2048]))
                     size += len(todo[-1][1])
-                    if size >= 4096:
+                    if size >= 2048:
                         settle()
                         todo, size = [], 0
         if todo:
@@ -353,7 +355,9 @@ def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5
     fits = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` ids a label
     sample = sample.where(length <= characters).withColumn("so_far", F.sum(length).over(fits)).where(F.col("so_far") <= characters)
     rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.select("doc_id", "text", "toxic").collect())
-    return train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
+    net = train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
+    released()
+    return net
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
@@ -376,6 +380,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Data
                 part = batch.slice(at, 512)
                 s = scores(sent.value, part.column(names.index("text")).to_pylist(), state)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*names, "score", "predicted"])
+        state.clear()
+        released()
 
     from pyspark.sql import types as T
 
