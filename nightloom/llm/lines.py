@@ -69,11 +69,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     d = d.join(cut, F.col("id") == F.col("doc"), "left").select("row", "bad", _lines(F.col("row.text")).alias("parts"))
     drop = lambda x: (F.trim(x) != "") & F.array_contains("bad", F.xxhash64(F.trim(x)))
     text = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter("parts", lambda x: ~drop(x)), "\n"))
-    return d.select(
-        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.size(F.filter("parts", lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
-        F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.size(F.filter("parts", drop))).cast("long").alias("n_removed"),
-    )
+    n_lines = F.size(F.filter("parts", lambda x: F.trim(x) != "")).cast("long")
+    n_removed = F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.size(F.filter("parts", drop))).cast("long")
+    new = {"text": text, "n_lines": n_lines, "n_removed": n_removed}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
+    return d.select(F.struct(*kept, *[v.alias(c) for c, v in new.items()]).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]])
 
 
 #: The same by exact counts alone.

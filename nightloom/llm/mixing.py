@@ -69,5 +69,6 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed:
     # No draw has more than the values that a distribution function lists.
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     d = d.withColumn("copy", (F.col("draw") * F.size("cdf") + F.col("copy")).cast("int"))
-    d = d.select(*[F.col("row").getField(c).alias(c) for c in names], "copy", hash_unit(F.lit(f"order{seed}"), ident, F.col("copy").cast("string")).alias("mix_key"))
+    d = d.select("row", "copy", hash_unit(F.lit(f"order{seed}"), ident, F.col("copy").cast("string")).alias("mix_key"))
+    d = d.select(*[F.col("row").getField(c).alias(c) for c in names], "copy", "mix_key")
     return d.orderBy("mix_key", "doc_id", "copy") if shuffle else d
