@@ -1,6 +1,6 @@
 """License scans by a positional index of rare words.
 
-Templates are short runs of licence words. A corpus pass finds in how many files each template word occurs; a template
+Templates are notices and mandatory sections of licences, as runs of words; several may have one label. A corpus pass finds in how many files each template word occurs; a template
 is looked up by its own highest-IDF words, however frequent they are. Each place of the rarest word of its key phrase gives
 a start (place in the file - place in the template); where enough of the looked-up words stand at the same relative
 position as in the template, it is held against the file there, word by word; a label needs enough of its words and the
@@ -28,7 +28,17 @@ TEMPLATES = [
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "www apache org licenses license 2 0"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("bsl-1.0", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software", "boost software license"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission notice appear in all copies"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "sublicense and or sell copies"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", "strictly prohibited"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution", "altered source versions must be plainly marked"),
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,9 +54,22 @@ def _texts(words: list[str]):
     return F.array(*[F.lit(w) for w in words])
 
 
-def _run_at(start, words: list[str]):
-    """For each word of a run, whether the file has it at its place if the run begins at start."""
-    return [F.coalesce(F.get(F.col("w"), F.greatest(start + i, F.lit(-1))) == F.lit(w), F.lit(False)) for i, w in enumerate(words)]
+def _row(words: list[str]):
+    """The words as one constant array."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+LONGEST = max(len(t.split()) for _, t, _ in TEMPLATES)
+
+
+def _at(start, many: int):
+    """So many words of the file from a place on, which may lie before its begin or run past its end ("" there)."""
+    return F.slice("padded", start + (LONGEST + 1), F.lit(many))
+
+
+def _equal(start, words: list[str]):
+    """How many words of a run the file has at their places if the run begins at start."""
+    return F.size(F.filter(F.zip_with(_at(start, len(words)), _row(words), lambda a, b: a == b), lambda x: x))
 
 
 def _place(words: list[str], needed: list[str]) -> int:
@@ -61,24 +84,9 @@ def _best_share(anchor: int, places: list[int], words: list[str], needed: list[s
     """
     starts = F.transform(F.filter("hits", lambda h: h["w"] == words[anchor]), lambda h: h["i"] - F.lit(anchor))
     at = _place(words, needed)
-
-    def total(flags):
-        out = F.lit(0)
-        for x in flags:
-            out = out + x.cast("int")
-        return out
-
-    def verified(s):
-        out = F.lit(True)
-        for x in _run_at(s + at, needed):
-            out = out & x
-        return out
-
-    def agreed(s):
-        return total([x for i, x in enumerate(_run_at(s, words)) if i in places]) >= agree
-
-    ready = F.filter(F.filter(starts, verified), agreed)
-    shares = F.transform(ready, lambda s: total(_run_at(s, words)) / F.lit(float(len(words))))
+    looked = [w if i in places else "-" for i, w in enumerate(words)]  # "-" is no word
+    ready = F.filter(starts, lambda s: (_at(s + at, len(needed)) == _row(needed)) & (_equal(s, looked) >= agree))
+    shares = F.transform(ready, lambda s: _equal(s, words) / F.lit(float(len(words))))
     return F.when(F.size("hits") > 0, F.array_max(shares))
 
 
@@ -110,6 +118,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", top:
     watched = sorted({p.split()[0] for p in BASE} | {t.split()[anchor] for (_, t, _), (anchor, _) in zip(TEMPLATES, looked, strict=True)})
     hits = F.filter(F.transform("w", lambda w, i: F.when(w.isin(watched), F.struct(w.alias("w"), i.cast("int").alias("i")))), lambda h: h.isNotNull())
     d = d.withColumn("hits", F.when(F.arrays_overlap("w", _texts(watched)), hits).otherwise(F.slice(hits, 1, 0)))
+    blank = F.array_repeat(F.lit(""), LONGEST)
+    d = d.withColumn("padded", F.when(F.size("hits") > 0, F.concat(blank, "w", blank)))
 
     def stands(phrase: str):
         """Places where the phrase's words stand one after another."""
@@ -120,7 +130,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", top:
         return F.transform(F.filter("hits", lambda h: (h["w"] == first) & test(h)), lambda h: h["i"])
 
     base = {label: stands(p) for p, label in BASE.items()}
-    d = d.select("k", "n", "w", "hits", *[v.alias(f"b{j}") for j, v in enumerate(base.values())])
+    d = d.select("k", "n", "w", "hits", "padded", *[v.alias(f"b{j}") for j, v in enumerate(base.values())])
     d = d.withColumn("places", F.concat(*[f"b{j}" for j in range(len(base))]))
     d = d.withColumn("base", F.filter(F.array(*[F.when(F.size(f"b{j}") > 0, F.lit(label)) for j, label in enumerate(base)]), lambda x: x.isNotNull()))
 

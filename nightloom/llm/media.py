@@ -288,14 +288,24 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return map_lists(docs.selectExpr(f"`{key}` k", f"cast(`{text}` as string) t"), store, f"k {kind}, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
+def _read_or_none(data: bytes | None):
+    """As read_media; None of no file, or of one that isn't AVI with grey baseline frames and their own tables."""
+    try:
+        return None if data is None else read_media(data)
+    except (ValueError, KeyError, IndexError, struct.error):
+        return None
+
+
 def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Timed clips of media columns: key, clip, first_frame, end_frame, start_s, end_s."""
+    """Timed clips of media columns: key, clip, first_frame, end_frame, start_s, end_s. A null file and one that can't be read have none."""
 
     def cut(b):
         rows = []
         for k, data in zip(b["k"], b["media"], strict=True):
-            _, hist, s = read_media(data)
-            rows += [(k, j, int(a), int(e), a * s, e * s) for j, (a, e) in enumerate(shots(hist))]
+            found = _read_or_none(data)
+            if found is not None:
+                _, hist, s = found
+                rows += [(k, j, int(a), int(e), a * s, e * s) for j, (a, e) in enumerate(shots(hist))]
         return rows
 
     kind = media.schema[key].dataType.simpleString()
@@ -303,12 +313,17 @@ def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What a reader of the stored files finds: payload and media digests, and the clips as a feature string."""
+    """What a reader of the stored files finds: payload and media digests, and the clips as a feature string. Of a file that can't be read (another
+    colour space or coding, damage) only the stored form is known and feature is "unreadable"; of a null file all is null."""
 
     def digest(b):
         rows = []
         for k, n, data in zip(b["k"], b["n_bytes"], b["media"], strict=True):
-            payload, hist, s = read_media(data)
+            found = _read_or_none(data)
+            if found is None:
+                rows.append((k, n, None, None, None, *((None, None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest(), "unreadable"))))
+                continue
+            payload, hist, s = found
             clips = shots(hist)
             feature = f"frames={len(hist)};clips={len(clips)};" + ",".join(f"{a * s:.2f}-{e * s:.2f}" for a, e in clips)
             rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))

@@ -38,3 +38,4 @@ def test_labels_do_not_hang_on_frequency_or_company(spark):
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: brute_labels(t) for k, t in rows}
     assert got[0] == "apache-2.0" and {"apache-2.0", "bsd", "mit"} <= set(got[40].split(","))
+    assert set(got[41].split(",")) >= {label for label, _, _ in licenses.TEMPLATES}

@@ -475,6 +475,11 @@ def test_media_of_odd_rows(odd):
         text = next(x[1] for x in ROWS if x[0] == r["doc_id"]) or ""
         n, payload = media.padded(text)
         assert (r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    stored = media.media_columns(odd)
+    broken = stored.withColumn("media", F.when(F.col("doc_id") == 6, F.lit(b"RIFF not a film")).when(F.col("doc_id") == 5, F.expr("substring(media, 1, 5000)")).when(F.col("doc_id").isNotNull(), F.col("media")))
+    told = {r["doc_id"]: r for r in media.media_digest(broken).collect()}
+    assert told[6]["feature"] == "unreadable" and told[6]["payload_sha256"] is None and told[6]["media_bytes"] == 15 and told[None]["feature"] is None and told[1]["payload_bytes"] == 64
+    assert {r["doc_id"] for r in media.clip_rows(broken).collect()} <= {1, 2, 3, 4, 5}
     clips = media.clip_rows(media.media_columns(odd)).collect()
     assert all(c["end_s"] > c["start_s"] for c in clips) and not media.media_columns(odd.limit(0)).collect()
 
