@@ -9,8 +9,10 @@ kept from training to place the threshold.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -56,15 +58,15 @@ def word_bucket(word: str) -> int:
     return zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % (WORDS - 1) + 1
 
 
-def vocabulary(texts: list[list[str]]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+def vocabulary(texts: Iterable[list[str]]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
     """Texts as rows of their distinct words (row 0 is padding), and of the rows: bucket, grams in one array, their starts and counts."""
     rows: dict[str, int] = {}
-    ids = [np.array([rows.setdefault(w, len(rows) + 1) for w in t], np.int64) for t in texts]
-    words, grams, counts = list(rows), [np.zeros(1, np.int32)], [np.ones(1, np.int64)]
+    ids = [np.array([rows.setdefault(w, len(rows) + 1) for w in t], np.int32) for t in texts]
+    words, grams, counts = list(rows), [np.zeros(1, np.int32)], [np.ones(1, np.int32)]
     for at in range(0, len(words), 20_000):
         g, n = grams_of(words[at : at + 20_000])
         grams.append(g.astype(np.int32))
-        counts.append(n)
+        counts.append(n.astype(np.int32))
     grams, counts = np.concatenate(grams), np.concatenate(counts)
     return ids, {"buckets": np.array([0, *map(word_bucket, rows)]), "grams": grams, "counts": counts, "starts": np.cumsum(counts) - counts}
 
@@ -225,7 +227,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = 450, batch: i
     if len(set(labels)) < 2:
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
-    docs, v = vocabulary([words_of(t) for t in texts])
+    docs, v = vocabulary(map(words_of, texts))
     counts = v["counts"]
     held = np.zeros(len(y), bool)
     for c in (0, 1):  # a fifth of each label places the threshold
@@ -240,6 +242,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = 450, batch: i
     cut = [windows(d) for d in docs]
     first = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
     every = np.concatenate(cut)
+    del cut
     moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in net.p.items()}
     step = 0
     epochs = int(np.clip(steps * batch / (2 * y[learn].sum() + 5 * (1 - y[learn]).sum()), 5, 40))
@@ -347,17 +350,25 @@ def held_out(doc_id="doc_id"):
 
 def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, seed: int = 5, characters: int = 12_000_000) -> Network | None:
     """A network from a bounded sample of labelled documents: at most `most` of each label, by hash of the id, held-out rows left out, and of each label as many
-    whole texts in that order as have `characters` together (a longer one is passed over), so that the driver's share is bounded too."""
+    whole texts in that order as have `characters` together (a longer one is passed over). One task learns from this bounded sample; the driver gets the network alone."""
     given = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # at most 2 * most rows of two numbers
     length = F.coalesce(F.length("text"), F.lit(0))
     fits = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` ids a label
     sample = sample.where(length <= characters).withColumn("so_far", F.sum(length).over(fits)).where(F.col("so_far") <= characters)
-    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.select("doc_id", "text", "toxic").collect())
-    net = train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
-    released()
-    return net
+
+    def learn(batches):
+        import pyarrow as pa
+
+        rows = sorted((d, t or "", y) for batch in batches for d, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        net = train([r[1] for r in rows], [r[2] for r in rows], seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([] if net is None else [pickle.dumps(net)], pa.binary())], names=["net"])
+        del rows, net
+        released()
+
+    found = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
