@@ -130,7 +130,10 @@ def planted_findings(docs: DataFrame, path: str = "source", dictionary: list[str
     """Labelled findings: FEATURES, label, fold (0 to 4, by text). Each of at most `texts` texts of the corpus (the bound; by hash of the text) lends some of its words to stand around a
     key or look-alike of each kind. The label is what was planted, whatever the features say."""
     part = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: ~w.rlike(SHAPE))
-    some = docs.where("text <> ''").select(F.xxhash64("text").alias("h"), F.col(path).cast("string").alias(path), F.slice(part, 1, 12).alias("w")).dropDuplicates(["h"]).orderBy("h").limit(texts)
+    # Some eight times as many texts, by hash, are what is put in order.
+    step = max(1, docs.count() // (8 * texts))
+    some = docs.where("text <> ''").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(step)) == 0)
+    some = some.select("h", F.col(path).cast("string").alias(path), F.slice(part, 1, 12).alias("w")).dropDuplicates(["h"]).orderBy("h").limit(texts)
     pools = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(before).alias("before"), core.alias("core"), F.lit(after).alias("after")) for label, before, core, after in _pools(F.col("h").cast("string"))])
     made = some.select("h", path, "w", F.posexplode(pools).alias("kind", "x"))
     half = F.pmod(F.col("h") + F.col("kind"), F.lit(7)).cast("int")
