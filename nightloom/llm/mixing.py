@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightloom.llm.common import saved
+
+BROADCAST = 10_000  # sources whose rates go to all tasks: some kilobytes each
+
 
 def hash_unit(*parts):
     """A number in [0, 1) from the first 32 bits of an MD5: the same in any SQL engine."""
@@ -58,6 +62,9 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed:
     whole = F.greatest(F.ceil(F.col("rate") / F.lit(float(highest))) - 1, F.lit(0)).cast("long")
     full = F.when(F.col("whole") > 0, poisson_cdf(F.lit(float(highest)), highest))
     rates = rates.withColumn("whole", whole).select("source", "whole", full.alias("full"), poisson_cdf(F.col("rate") - F.col("whole") * F.lit(float(highest)), highest).alias("cdf"))
+    rates = saved(rates, "rates")
+    if rates.count() <= BROADCAST:  # else the hot sources of a shuffle join are for Spark to split
+        rates = F.broadcast(rates)
     d = docs.select(F.struct(*names).alias("row")).join(rates, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
     # Most documents have one draw; the others become a row for each.
     d = d.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
