@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import frames as ff
-from nightloom.functions.robust import upper_mad, upper_median, wide_mad, wide_median
+from nightloom.functions.robust import upper_median, wide_mad, wide_median
 from nightloom.operators import triage as T
 
 QUERIES: dict = {}

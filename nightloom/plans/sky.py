@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import wcs as W
