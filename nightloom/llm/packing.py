@@ -52,7 +52,10 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if _RARE.search(text) or self.special.search(text):
             return self.plain(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # a run of white space too long for the pattern's matcher
+            return self.plain(text)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from nightloom.llm import lines, oracles
+from nightloom.llm import centroids, filter_audit, lines, oracles
+from nightloom.llm.centroids import cluster_vectors
 from nightloom.llm.common import table
+from nightloom.llm.filter_audit import audit_filters
+from nightloom.llm.histogram_packing import pack_by_histogram
 from nightloom.llm.licenses import scan_licenses
 from nightloom.llm.media import media_columns, media_digest
 from nightloom.llm.mixing import mix_sources
@@ -56,6 +59,19 @@ def op10_top_inner_products(spark, sf_dir):
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_histogram_packing(spark, sf_dir):
+    return pack_by_histogram(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +85,9 @@ QUERIES = {
         op8_secret_scans,
         op9_media_columns,
         op10_top_inner_products,
+        op11_histogram_packing,
+        op12_centroid_clustering,
+        op13_filter_audit,
     )
 }
 
@@ -78,4 +97,6 @@ ORACLE = {
     "op6_url_filters": oracles.url_filters(RULES),
     "op7_mix_sources": oracles.MIX_SOURCES,
     "op10_top_inner_products": oracles.TOP_INNER_PRODUCTS,
+    "op12_centroid_clustering": centroids.sql(),
+    "op13_filter_audit": filter_audit.SQL,
 }
