@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightloom.functions.robust import upper_mad, upper_median
+from nightloom.operators.selection import met, select_median
+from nightloom.sources.staging import staged
 
 
 def quality(frames: DataFrame, keys=("night",)) -> DataFrame:
@@ -21,6 +23,14 @@ def quality(frames: DataFrame, keys=("night",)) -> DataFrame:
     return frames.withColumn("quality", F.when(n == 1, 1.0).otherwise(place / (n - 1)))
 
 
+def night_triage(frames: DataFrame, by: str = "night") -> DataFrame:
+    """by, median, best, worst, worst_frame, soft: HFR over all projects of a night, soft being how many lie above 1.25 times the median."""
+    f = frames.select(by, "frame_id", "hfr")
+    m = staged(select_median(f, [by], "hfr", "median"), "night-medians")
+    worst = F.max_by("frame_id", F.struct("hfr", "frame_id")).alias("worst_frame")
+    return met(f, m, [by]).groupBy(by, "median").agg(F.min("hfr").alias("best"), F.max("hfr").alias("worst"), worst, F.count(F.when(F.col("hfr") > 1.25 * F.col("median"), 1)).alias("soft"))
+
+
 def gaps(frames: DataFrame, keys, threshold: int = 120) -> DataFrame:
     """keys, start, duration: breaks longer than threshold between successive frames."""
     w = Window.partitionBy(*keys).orderBy("second", "frame_id")
@@ -205,7 +215,8 @@ def worst(frames: DataFrame, share: float, keys=("night",)) -> DataFrame:
 
 def recommend_strategy(frames: DataFrame, by: str, drift: Column) -> DataFrame:
     """by, frames, fwhm, sampling, full_resolution, drizzle from the median HFR (half-size pixels: FWHM is four times it)."""
-    g = frames.groupBy(by).agg(F.count("*").alias("frames"), (upper_median("hfr") * 4).alias("fwhm"), drift.alias("drift"))
+    totals = frames.groupBy(by).agg(F.count("*").alias("frames"), drift.alias("drift"))
+    g = met(totals, select_median(frames, [by], "hfr", "median"), [by], 1).withColumn("fwhm", F.col("median") * 4)
     sampling = F.when(F.col("fwhm") < 2.5, "under").when(F.col("fwhm") > 5, "over").otherwise("critical")
     finer = (F.col("fwhm") < 2.5) & (F.coalesce("drift", F.lit(0.5)) >= 0.5) & (F.col("frames") >= 50)
     return g.select(by, "frames", "fwhm", sampling.alias("sampling"), (F.col("fwhm") <= 5).alias("full_resolution"), F.when(finer, 2).otherwise(0).alias("drizzle"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import frames as ff
-from nightloom.functions.robust import upper_median, wide_mad, wide_median
+from nightloom.functions.robust import upper_median
 from nightloom.operators import triage as T
+from nightloom.operators.selection import select_mad, select_median
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -253,22 +254,19 @@ def agg_night_report(spark, sf_dir):
 @query(F2 + f""", m AS (SELECT night, {MED.format('hfr')} AS median FROM f GROUP BY 1)
  SELECT night, round(median, 6) AS median, min(hfr) AS best, max(hfr) AS worst, arg_max(frame_id, hfr * 1e9 + frame_id) AS worst_frame, count(*) FILTER (WHERE hfr > 1.25 * median) AS soft FROM f JOIN m USING (night) GROUP BY night, median""")
 def agg_triage(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    m = f.groupBy("night").agg(upper_median("hfr").alias("median"))
-    out = f.join(m, "night").groupBy("night", "median")
-    return out.agg(F.min("hfr").alias("best"), F.max("hfr").alias("worst"), F.max_by("frame_id", F.struct("hfr", "frame_id")).alias("worst_frame"), F.count(F.when(F.col("hfr") > 1.25 * F.col("median"), 1)).alias("soft")).withColumn("median", F.round("median", 6))
+    return T.night_triage(frames(spark, sf_dir)).withColumn("median", F.round("median", 6))
 
 
 @query(F2 + f" SELECT object, {MED.format('hfr')} AS hfr, {MED.format('stars')} AS stars FROM f GROUP BY 1")
 def agg_upper_median(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return wide_median(f, ["object"], "hfr", "hfr").join(wide_median(f, ["object"], "stars", "stars"), "object")
+    return select_median(f, ["object"], "hfr", "hfr").join(select_median(f, ["object"], "stars", "stars"), "object")
 
 
 @query(F2 + f""", m AS (SELECT object, {MED.format('hfr')} AS median FROM f GROUP BY 1), d AS (SELECT object, median, abs(hfr - median) AS away FROM f JOIN m USING (object))
  SELECT object, median, round({MED.format('away')} * 1.4826, 6) AS sigma FROM d GROUP BY object, median""")
 def agg_mad(spark, sf_dir):
-    return wide_mad(frames(spark, sf_dir), ["object"], "hfr", "median", "sigma").withColumn("sigma", F.round("sigma", 6))
+    return select_mad(frames(spark, sf_dir), ["object"], "hfr", "median", "sigma").withColumn("sigma", F.round("sigma", 6))
 
 
 @query(F2 + " SELECT frame_id, row_number() OVER (ORDER BY second, frame_id) - 1 AS id FROM f")
