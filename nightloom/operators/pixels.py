@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions.develop import TARGET, bound, clamp, mtf
 from nightloom.functions.robust import SIGMA, mad_of, median_of, wide_mad, wide_median
+from nightloom.operators.tiles import banded
 
 CHANNELS = "rgb"
 
@@ -29,13 +30,14 @@ def debayer_half(pixels: DataFrame, pattern: str = "GRBG", keys=("frame_id",)) -
     return block.groupBy(*keys, "y", "x").agg(*[F.coalesce(F.avg(F.when(F.col("c") == k, F.col("v"))), F.lit(0.0)).alias(n) for k, n in enumerate(CHANNELS)])
 
 
-def demosaic(plane: np.ndarray, pattern: str = "GRBG") -> np.ndarray:
-    """Bilinear (h, w, 3) of a mosaic, edges repeated."""
+def demosaic(plane: np.ndarray, pattern: str = "GRBG", row: int = 0) -> np.ndarray:
+    """Bilinear (h, w, 3) of a mosaic whose first line is `row` of the pattern's, edges repeated."""
     p = np.pad(plane, 1, mode="edge")
     shift = lambda dy, dx: p[1 + dy : 1 + dy + plane.shape[0], 1 + dx : 1 + dx + plane.shape[1]]
     horizontal, vertical = (shift(0, -1) + shift(0, 1)) / 2, (shift(-1, 0) + shift(1, 0)) / 2
     diagonal = (shift(-1, -1) + shift(-1, 1) + shift(1, -1) + shift(1, 1)) / 4
     yy, xx = np.indices(plane.shape)
+    yy = yy + row
     own = np.array(["RGB".index(c) for c in pattern])[(yy % 2) * 2 + xx % 2]
     beside = np.array(["RGB".index(c) for c in pattern])[(yy % 2) * 2 + (xx + 1) % 2]  # the colour of the row's other pixels
     out = np.empty((*plane.shape, 3))
@@ -45,20 +47,24 @@ def demosaic(plane: np.ndarray, pattern: str = "GRBG") -> np.ndarray:
     return out
 
 
-def debayer_full(pixels: DataFrame, pattern: str = "GRBG") -> DataFrame:
-    """frame_id, y, x, r, g, b at full size. A frame goes to one task as a plane (one file's worth of pixels)."""
+def debayer_full(pixels: DataFrame, pattern: str = "GRBG", rows: int = 32) -> DataFrame:
+    """frame_id, y, x, r, g, b at full size, in bands of rows: each band also gets the line above and the line below it from its neighbours; edges of the frame are repeated."""
 
-    def one(frame):
+    def one(key, band):
         import pandas as pd
 
-        h, w = int(frame["y"].max()) + 1, int(frame["x"].max()) + 1
-        plane = np.zeros((h, w))
-        plane[frame["y"], frame["x"]] = frame["v"]
-        rgb = demosaic(plane, pattern)
-        yy, xx = np.indices((h, w))
-        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "y": yy.ravel(), "x": xx.ravel(), "r": rgb[:, :, 0].ravel(), "g": rgb[:, :, 1].ravel(), "b": rgb[:, :, 2].ravel()})
-
-    return pixels.select("frame_id", "y", "x", "v").groupBy("frame_id").applyInPandas(one, "frame_id long, y int, x int, r double, g double, b double")
+        top = int(band["y"].min())
+        plane = np.zeros((int(band["y"].max()) - top + 1, int(band["x"].max()) + 1))
+        plane[band["y"] - top, band["x"]] = band["v"]
+        first = key[1] * rows - top  # 1 where there is a line above
+        rgb = demosaic(plane, pattern, top)[first : first + rows]
+        yy, xx = np.indices(rgb.shape[:2])
+        return pd.DataFrame({"frame_id": key[0], "y": yy.ravel() + key[1] * rows, "x": xx.ravel(), **{n: rgb[:, :, k].ravel() for k, n in enumerate(CHANNELS)}})
+
+    # A line below the last band makes no band of its own: a band has a row that isn't rim.
+    b = banded(pixels.select("frame_id", "y", "x", "v"), rows)
+    last = pixels.groupBy("frame_id").agg(F.floor(F.max("y") / rows).cast("int").alias("last"))
+    return b.join(last, "frame_id").where("band <= last").groupBy("frame_id", "band").applyInPandas(one, "frame_id long, y int, x int, r double, g double, b double")
 
 
 def channels(rgb: DataFrame, keys=("frame_id",)) -> DataFrame:

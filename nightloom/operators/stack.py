@@ -1,7 +1,6 @@
 """Stacks: weights, sigma-clipped combination, drizzle, metrics.
 
-The long form groups single samples; the bulk form moves float tiles and combines a tile's frames in one NumPy step (n * side^2 values, bounded by the
-choice of side). Both give the same master.
+This is the long form, which groups single samples; the bulk form over tiles is in tiles.py. Both give the same master.
 """
 
 from __future__ import annotations
@@ -45,7 +44,7 @@ def sigma_clip(samples: DataFrame, keys: list[str], low: float = 3.0, high: floa
 
 
 def combine(cube: np.ndarray, weights: np.ndarray, low: float, high: float, sampled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of (n, ...) samples, NaN where a frame has none: the combined tile and how many were clipped."""
+    """The same of (n, ...) samples in memory, NaN where a frame has none: the combined tile and how many were clipped."""
     import warnings
 
     with warnings.catch_warnings(), np.errstate(invalid="ignore", divide="ignore"):
@@ -62,77 +61,6 @@ def combine(cube: np.ndarray, weights: np.ndarray, low: float, high: float, samp
     return value, out.sum(axis=0)
 
 
-def combine_tiles(tiles: DataFrame, keys=("master_id", "ty", "tx"), low: float = 3.0, high: float = 3.0, most_sampled: int = 60) -> DataFrame:
-    """keys, h, w, data, clipped from tiles(keys, ord, weight, h, w, data BINARY of float64): the bulk form. A group is one tile of all frames."""
-    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
-
-    def one(key, frame):
-        import pandas as pd
-
-        frame = frame.sort_values("ord")
-        h, w = int(frame["h"].iloc[0]), int(frame["w"].iloc[0])
-        cube = np.stack([np.frombuffer(d, np.float64).reshape(h, w) for d in frame["data"]])
-        step = max(len(cube) // most_sampled, 1)
-        value, clipped = combine(cube, frame["weight"].to_numpy(), low, high, np.arange(0, len(cube), step))
-        return pd.DataFrame([[*key, h, w, value.astype(np.float64).tobytes(), int(clipped.sum())]], columns=[*keys, "h", "w", "data", "clipped"])
-
-    return tiles.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", h int, w int, data binary, clipped int")
-
-
-def to_tiles(pixels: DataFrame, side: int, keys=("frame_id",)) -> DataFrame:
-    """keys, ty, tx, h, w, data: pixels(keys, y, x, v) as float64 tiles."""
-    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-
-    def one(key, frame):
-        import pandas as pd
-
-        *own, ty, tx = key
-        y, x = frame["y"].to_numpy() - ty * side, frame["x"].to_numpy() - tx * side
-        data = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
-        data[y, x] = frame["v"]
-        return pd.DataFrame([[*own, ty, tx, *data.shape, data.tobytes()]], columns=[*keys, "ty", "tx", "h", "w", "data"])
-
-    cut = pixels.withColumns({"ty": F.floor(F.col("y") / side).cast("int"), "tx": F.floor(F.col("x") / side).cast("int")})
-    return cut.groupBy(*keys, "ty", "tx").applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ty int, tx int, h int, w int, data binary")
-
-
-def catmull_rom(plane: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cubic samples of a plane; NaN within two pixels of the border."""
-    x1, y1 = np.floor(x).astype(int), np.floor(y).astype(int)
-    h, w = plane.shape
-    inside = (x1 >= 1) & (y1 >= 1) & (x1 + 2 < w) & (y1 + 2 < h)
-    xs, ys = np.where(inside, x1, 1), np.where(inside, y1, 1)
-
-    def weights(t):
-        return 0.5 * np.stack([-t + 2 * t**2 - t**3, 2 - 5 * t**2 + 3 * t**3, t + 4 * t**2 - 3 * t**3, -(t**2) + t**3])
-
-    wx, wy = weights(x - x1), weights(y - y1)
-    out = sum(wy[j] * sum(wx[i] * plane[np.clip(ys - 1 + j, 0, h - 1), np.clip(xs - 1 + i, 0, w - 1)] for i in range(4)) for j in range(4))
-    return np.where(inside, out, np.nan)
-
-
-def resample(pixels: DataFrame, transforms: DataFrame) -> DataFrame:
-    """frame_id, y, x, v on the reference grid from pixels(frame_id, y, x, v) and transforms(frame_id, a, b, tx, ty) into it; places without a sample are left out.
-
-    A frame's plane goes to one task; its samples come out in the order of rows.
-    """
-
-    def one(frame):
-        import pandas as pd
-
-        h, w = int(frame["y"].max()) + 1, int(frame["x"].max()) + 1
-        plane = np.zeros((h, w))
-        plane[frame["y"], frame["x"]] = frame["v"]
-        a, b, tx, ty = (float(frame[c].iloc[0]) for c in ("a", "b", "tx", "ty"))
-        yy, xx = np.indices((h, w))
-        u, v, s = xx - tx, yy - ty, a * a + b * b
-        out = catmull_rom(plane, (a * u + b * v) / s, (-b * u + a * v) / s)
-        good = ~np.isnan(out)
-        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "y": yy[good], "x": xx[good], "v": out[good]})
-
-    return pixels.join(transforms, "frame_id").groupBy("frame_id").applyInPandas(one, "frame_id long, y int, x int, v double")
-
-
 def drizzle(samples: DataFrame, keys: list[str], scale: int, width: int, height: int, pixfrac: float = 0.7) -> DataFrame:
     """keys, channel, oy, ox, v, weight from samples(keys, channel, px, py, v, weight), px and py on the reference grid.
 

@@ -8,6 +8,7 @@ from nightloom.fixtures import view, with_views
 from nightloom.functions import develop as D
 from nightloom.operators import pixels as P
 from nightloom.operators import stack as S
+from nightloom.operators import tiles as Ti
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -202,7 +203,7 @@ def _neighbour(dy: int, dx: int) -> str:
  m AS (SELECT frame_id, y, x, {COLOUR} AS c, {_neighbour(0, 0)} AS own, ({_neighbour(0, -1)} + {_neighbour(0, 1)}) / 2 AS h, ({_neighbour(-1, 0)} + {_neighbour(1, 0)}) / 2 AS vv, ({_neighbour(-1, -1)} + {_neighbour(-1, 1)} + {_neighbour(1, -1)} + {_neighbour(1, 1)}) / 4 AS d FROM n GROUP BY frame_id, y, x)
  SELECT frame_id, y, x, round(CASE WHEN c = 0 THEN own WHEN c = 1 THEN CASE WHEN y % 2 = 0 THEN h ELSE vv END ELSE d END, 6) AS r, round(CASE WHEN c = 1 THEN own ELSE (h + vv) / 2 END, 6) AS g, round(CASE WHEN c = 2 THEN own WHEN c = 1 THEN CASE WHEN y % 2 = 0 THEN vv ELSE h END ELSE d END, 6) AS b FROM m""")
 def agg_debayer_full(spark, sf_dir):
-    return P.debayer_full(pixels(spark, sf_dir)).select("frame_id", "y", "x", *R6("r", "g", "b"))
+    return P.debayer_full(pixels(spark, sf_dir), rows=4).select("frame_id", "y", "x", *R6("r", "g", "b"))
 
 
 @query(RGB + f" SELECT master_id, channel, CAST(floor({CLAMP.format('v')} * 255) AS INTEGER) AS bin, count(*) AS n FROM ch GROUP BY ALL")
@@ -289,31 +290,35 @@ def samples(spark, sf_dir):
     return p.select("master_id", "frame_id", "y", "x", S.matched(F.col("v"), bg, noise, F.lit(0.55), F.lit(0.1)).alias("v"), (1.0 + F.col("frame_id") % 4).alias("weight"))
 
 
-CLIPPED = """, sm AS (SELECT master_id, frame_id, y, x, (v - (0.55 + CAST(frame_id % 5 AS DOUBLE) / 100)) * (CAST(0.1 AS DOUBLE) / (0.1 + CAST(frame_id % 3 AS DOUBLE) / 50)) + 0.55 AS v, 1.0 + frame_id % 4 AS weight FROM pixels),
- ss AS (SELECT master_id, y, x, avg(v) AS mean, stddev_samp(v) AS sigma FROM sm GROUP BY 1, 2, 3), sc AS (SELECT sm.*, mean, sigma, coalesce(sigma > 0, false) AND (v - mean > 2.5 * sigma OR mean - v > 2 * sigma) AS gone FROM sm JOIN ss USING (master_id, y, x)),
+#: At most so many frames set mean and sigma: fewer than the default of 60, so that the step is at work in small tables.
+SAMPLED = 20
+
+CLIPPED = f""", sm AS (SELECT master_id, frame_id, y, x, (v - (0.55 + CAST(frame_id % 5 AS DOUBLE) / 100)) * (CAST(0.1 AS DOUBLE) / (0.1 + CAST(frame_id % 3 AS DOUBLE) / 50)) + 0.55 AS v, 1.0 + frame_id % 4 AS weight FROM pixels),
+ fo AS (SELECT master_id, frame_id, row_number() OVER (PARTITION BY master_id ORDER BY frame_id) - 1 AS ord, count(*) OVER (PARTITION BY master_id) AS n FROM (SELECT DISTINCT master_id, frame_id FROM pixels)),
+ su AS (SELECT sm.*, ord % greatest(n // {SAMPLED}, 1) = 0 AS sampled FROM sm JOIN fo USING (master_id, frame_id)),
+ ss AS (SELECT master_id, y, x, avg(v) AS mean, stddev_samp(v) AS sigma FROM su WHERE sampled GROUP BY 1, 2, 3), sc AS (SELECT su.*, mean, sigma, coalesce(sigma > 0, false) AND (v - mean > 2.5 * sigma OR mean - v > 2 * sigma) AS gone FROM su JOIN ss USING (master_id, y, x)),
  stk AS (SELECT master_id, y, x, CASE WHEN sum(CASE WHEN NOT gone THEN weight END) > 0 THEN sum(CASE WHEN NOT gone THEN CAST(weight AS DOUBLE) * v END) / sum(CASE WHEN NOT gone THEN CAST(weight AS DOUBLE) END) ELSE max(mean) END AS v, count(*) FILTER (WHERE gone) AS clipped, count(*) AS seen FROM sc GROUP BY 1, 2, 3)"""
 
 
+def stacked(samples):
+    """The long form's stack of samples, mean and sigma set by every so many frames."""
+    order = Ti.stack_order(samples.select("master_id", "frame_id").distinct(), SAMPLED).select("master_id", "frame_id", "sampled")
+    return S.sigma_clip(samples.join(order, ["master_id", "frame_id"]), ["master_id", "y", "x"], low=2.0, high=2.5, sample_step=F.col("sampled"))
+
+
 @query(CLIPPED + " SELECT master_id, y, x, round(v, 6) AS v, clipped, seen FROM stk")
 def agg_stack_sigma_clip(spark, sf_dir):
-    return S.sigma_clip(samples(spark, sf_dir), ["master_id", "y", "x"], low=2.0, high=2.5).select("master_id", "y", "x", *R6("v"), "clipped", "seen")
+    return stacked(samples(spark, sf_dir)).select("master_id", "y", "x", *R6("v"), "clipped", "seen")
 
 
-@query(CLIPPED + " SELECT master_id, CAST(y // 4 AS INTEGER) AS ty, CAST(x // 4 AS INTEGER) AS tx, CAST(sum(clipped) AS INTEGER) AS clipped, round(avg(v), 6) AS mean FROM stk GROUP BY 1, 2, 3")
+@query(CLIPPED + " SELECT master_id, y, x, round(v, 6) AS v FROM stk")
 def agg_stack_tiles(spark, sf_dir):
-    """The bulk form of the same stack: per tile, clipped samples and mean value."""
+    """The bulk form of the same stack, read back from its tiles."""
     s = samples(spark, sf_dir)
-    tiles = S.to_tiles(s.drop("weight"), 4, keys=("master_id", "frame_id")).withColumn("ord", F.col("frame_id")).withColumn("weight", 1.0 + F.col("frame_id") % 4)
-    out = S.combine_tiles(tiles.drop("frame_id"), low=2.0, high=2.5, most_sampled=1_000_000)
-
-    def means(batches):
-        import numpy as np
-
-        for b in batches:
-            b["mean"] = [float(np.frombuffer(d, np.float64).mean()) for d in b["data"]]
-            yield b[["master_id", "ty", "tx", "clipped", "mean"]]
-
-    return out.mapInPandas(means, "master_id int, ty int, tx int, clipped int, mean double").withColumn("mean", F.round("mean", 6))
+    tiles = Ti.to_tiles(s, 4, keys=("master_id", "frame_id"))
+    frames = s.select("master_id", "frame_id", "weight").distinct()
+    out = Ti.stack_tiles(tiles, frames, low=2.0, high=2.5, most_sampled=SAMPLED)
+    return Ti.from_tiles(out, 4, keys=("master_id",)).select("master_id", "y", "x", *R6("v"))
 
 
 @query(CLIPPED + """, mm AS (SELECT master_id, avg(v) AS stack_mean, stddev_samp(v) AS stack_noise, CAST(sum(clipped) AS DOUBLE) / sum(seen) * 100 AS clipped_pct FROM stk GROUP BY 1), ff AS (SELECT master_id, frame_id, stddev_samp(v) AS noise FROM sm GROUP BY 1, 2), f1 AS (SELECT master_id, arg_min(noise, frame_id) AS frame_noise, count(*) AS frames FROM ff GROUP BY 1)
@@ -321,7 +326,7 @@ def agg_stack_tiles(spark, sf_dir):
 def agg_stack_compare(spark, sf_dir):
     """Each master against its first frame: how much quieter, of how many frames and hours."""
     s = samples(spark, sf_dir)
-    stack = S.sigma_clip(s, ["master_id", "y", "x"], low=2.0, high=2.5)
+    stack = stacked(s)
     m = stack.groupBy("master_id").agg(F.stddev_samp("v").alias("stack_noise"), (F.sum("clipped") / F.sum("seen") * 100).alias("clipped_pct"))
     f = s.groupBy("master_id", "frame_id").agg(F.stddev_samp("v").alias("noise"))
     first = f.groupBy("master_id").agg(F.min_by("noise", "frame_id").alias("frame_noise"), F.count("*").alias("frames"))
@@ -367,7 +372,7 @@ def _cubic(values: list[str], t: str) -> str:
 def agg_resample(spark, sf_dir):
     p = pixels(spark, sf_dir)
     t = p.select("frame_id").distinct().select("frame_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (0.25 + F.col("frame_id") % 2).alias("tx"), F.lit(0.5).alias("ty"))
-    return S.resample(p.select("frame_id", "y", "x", "v"), t).select("frame_id", "y", "x", *R6("v"))
+    return Ti.resample(p.select("frame_id", "y", "x", "v"), t, side=4).select("frame_id", "y", "x", *R6("v"))
 
 
 @query(""", f AS (SELECT project_id, frame_id % 20 <> 0 AS ok, CAST(frame_id % 100 AS DOUBLE) / 50 AS rotation, CAST(frame_id % 7 AS DOUBLE) AS tx, CAST(frame_id % 11 AS DOUBLE) / 2 AS ty, exptime FROM frames)

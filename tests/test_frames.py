@@ -9,6 +9,7 @@ from nightloom.operators import pixels as P
 from nightloom.operators import sky as S
 from nightloom.operators import stack as K
 from nightloom.operators import stars as St
+from nightloom.operators import tiles as Ti
 from nightloom.operators import triage as T
 from nightloom.sources import fits, tables
 
@@ -93,7 +94,7 @@ def test_bulk_stack_is_the_long_form(spark):
 def test_catmull_rom_keeps_whole_shifts_and_planes():
     y, x = np.indices((12, 12))
     plane = 3.0 * x - 2.0 * y
-    out = K.catmull_rom(plane, x + 0.25, y + 0.5)
+    out = Ti.catmull_rom(plane, x + 0.25, y + 0.5)
     assert np.isnan(out[0, 0]) and np.allclose(out[3:8, 3:8], (3 * (x + 0.25) - 2 * (y + 0.5))[3:8, 3:8])
 
 
