@@ -54,16 +54,17 @@ def sessions(frames: DataFrame, project: str = "project_id") -> DataFrame:
     return out.select(project, "session", "night", F.col("f.frame_id").alias("first_frame"), F.col("f.exptime").alias("exptime"), "frames", "kept", F.col("f.second").alias("start_second"), "end_second")
 
 
-def frame_ids(frames: DataFrame, order: list[str], out: str = "id", cells: int = 64) -> DataFrame:
-    """Dense ids in a global order that begins with a number: quantiles of it cut the order into cells, which are ranked apart and offset by what stands before them."""
-    cuts = sorted(set(frames.approxQuantile(order[0], [k / cells for k in range(1, cells)], 0.01)))
-    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order[0])))
-    dealt = frames.withColumn("__cell", cell)
-    counts = dealt.groupBy("__cell").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__cell", before.alias("__before"))  # a row a cell
-    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1
-    return dealt.withColumn("__in", inside).join(F.broadcast(offsets), "__cell").withColumn(out, F.col("__before") + F.col("__in")).drop("__cell", "__in", "__before")
+def frame_ids(frames: DataFrame, order: list[str], out: str = "id") -> DataFrame:
+    """Dense ids in a global order: rows are dealt by ranges of the whole order, numbered within their part, and offset by the rows of the parts before.
+
+    The ranges follow the rows, so a second with most of all frames is cut by what comes after it in the order. What was dealt is written once: the ids stay the same if a task is lost.
+    """
+    dealt = frames.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "frame-ids")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))  # a row a part
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
 def defects(frames: DataFrame, keys=("project_id", "night"), least: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from nightloom.functions.robust import upper_median
 from nightloom.operators import sky as S
 from nightloom.operators import stars as St
 from nightloom.sources import fits
+from nightloom.sources.staging import staging_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,9 +30,20 @@ def query(sql: str | None = None, views: tuple[str, ...] = ("stars",)):
     return put
 
 
-@query(" SELECT source_id, ra, dec, g FROM sky WHERE ra >= 40 AND ra < 200 AND dec >= -30 AND dec < 45 AND g < 11.5 AND bp IS NOT NULL AND rp IS NOT NULL", views=("sky",))
+STORE = """, st AS (SELECT source_id, CAST(trunc(ra * 1000000) AS INTEGER) AS ra, CAST(trunc(dec * 1000000) AS INTEGER) AS dec, CAST(trunc(g * 100) AS SMALLINT) AS g, CAST(trunc(bp * 100) AS SMALLINT) AS bp, CAST(trunc(rp * 100) AS SMALLINT) AS rp FROM sky),
+ sd AS (SELECT source_id, CAST(ra AS DOUBLE) / 1000000 AS ra, CAST(dec AS DOUBLE) / 1000000 AS dec, CAST(g AS DOUBLE) / 100 AS g, bp, rp FROM st)"""
+
+
+def store(spark, sf_dir):
+    """The sky in a new store, as it is read back."""
+    path = staging_dir(spark, "sky")
+    S.write_store(view(spark, sf_dir, "sky"), path)
+    return S.read_store(spark, path)
+
+
+@query(STORE + " SELECT source_id, ra, dec, g FROM sd WHERE ra >= 40 AND ra < 200 AND dec >= -30 AND dec < 45 AND g < 11.5 AND bp IS NOT NULL AND rp IS NOT NULL", views=("sky",))
 def flt_gaia_box(spark, sf_dir):
-    return S.in_box(view(spark, sf_dir, "sky"), 40, 200, -30, 45, 11.5).select("source_id", "ra", "dec", "g")
+    return S.stored_box(store(spark, sf_dir), 40, 200, -30, 45, 11.5).select("source_id", "ra", "dec", "g")
 
 
 @query(f" SELECT source_id, round({SEP.format('ra', 'dec', '314.768', '45.733')}, 6) AS sep FROM sky", views=("sky",))
@@ -45,26 +57,38 @@ def prj_sky_geometry(spark, sf_dir):
     return m.select("centre_id", F.round("min_dec", 6).alias("min_dec"), F.round(W.sky_fraction(F.col("min_dec")), 6).alias("fraction"))
 
 
-@query(f" SELECT centre_id, source_id, round(sep, 6) AS sep FROM (SELECT centre_id, source_id, radius, {SEP.format('c.ra', 'c.dec', 's.ra', 's.dec')} AS sep FROM centres c CROSS JOIN sky s) WHERE sep <= radius", views=("centres", "sky"))
+@query(STORE + f" SELECT centre_id, source_id, round(sep, 6) AS sep FROM (SELECT centre_id, source_id, radius, {SEP.format('c.ra', 'c.dec', 's.ra', 's.dec')} AS sep FROM centres c CROSS JOIN sd s) WHERE sep <= radius", views=("centres", "sky"))
 def jn_cone_search(spark, sf_dir):
-    return S.cone_search(view(spark, sf_dir, "centres"), view(spark, sf_dir, "sky")).select("centre_id", "source_id", F.round("sep", 6).alias("sep"))
+    return S.cone_search(view(spark, sf_dir, "centres"), store(spark, sf_dir)).select("centre_id", "source_id", F.round("sep", 6).alias("sep"))
 
 
-@query(""" SELECT source_id, CAST(trunc(ra * 1000000) AS INTEGER) AS ra, CAST(trunc(dec * 1000000) AS INTEGER) AS dec, CAST(trunc(g * 100) AS SMALLINT) AS g, CAST(trunc(bp * 100) AS SMALLINT) AS bp, CAST(trunc(rp * 100) AS SMALLINT) AS rp FROM sky""", views=("sky",))
+@query(STORE + " SELECT source_id, ra, dec, g, bp, rp FROM st", views=("sky",))
 def sink_sky_store(spark, sf_dir):
     """The store's form, written by tile and read back."""
-    from nightloom.sources.staging import staging_dir
-
     path = staging_dir(spark, "sky")
-    stored = S.quantised(view(spark, sf_dir, "sky").withColumn("tile_id", S.tile_of(F.col("ra"), F.col("dec"), -90.0, 30.0)))
-    stored.repartition("tile_id").write.partitionBy("tile_id").parquet(path)
+    S.write_store(view(spark, sf_dir, "sky"), path, cell=30.0)
     return spark.read.parquet(path).select("source_id", "ra", "dec", "g", "bp", "rp")
 
 
-@query()
+TILE_CAP, TILE_CELL = 60, 30.0
+
+
+def _quad_sql() -> str:
+    """All counts of a tree of twelve levels over tiles of 30 degrees from the south pole, cut from the top."""
+    code = " + ".join(f"(((cy >> {12 + k}) & 1) * 2 + ((cx >> {12 + k}) & 1)) * {4**k}" for k in range(12))
+    bits = lambda first: " + ".join(f"((code >> {2 * k + first}) & 1) * {2**k}" for k in range(12))
+    return f""", tb AS (SELECT source_id, ra, dec, least(CAST(floor((dec + 90) / 30) AS BIGINT), 5) AS band FROM sky), tc AS (SELECT *, greatest(CAST(ceil(360 * greatest(cos(radians(greatest(abs(band * 30 - 90), abs(band * 30 - 60)))), 0.02) / 30) AS BIGINT), 1) AS cells FROM tb),
+ ti AS (SELECT *, least(CAST(floor(ra * cells / 360) AS BIGINT), cells - 1) AS i FROM tc), tp AS (SELECT band * 1000 + i AS tile_id, ra, dec, i * CAST(360 AS DOUBLE) / cells AS ra0, (i + 1) * CAST(360 AS DOUBLE) / cells AS ra1, CAST(band * 30 - 90 AS DOUBLE) AS dec0, CAST(band * 30 - 60 AS DOUBLE) AS dec1 FROM ti),
+ tx AS (SELECT *, least(CAST(floor((ra - ra0) / (ra1 - ra0) * 16777216) AS BIGINT), 16777215) AS cx, least(CAST(floor((dec - dec0) / (dec1 - dec0) * 16777216) AS BIGINT), 16777215) AS cy FROM tp),
+ td AS (SELECT tile_id, ra0, ra1, dec0, dec1, {code} AS deep FROM tx), tl AS (SELECT *, unnest(range(13)) AS depth FROM td),
+ nd AS (SELECT tile_id, depth, deep // CAST(pow(4, 12 - depth) AS BIGINT) AS code, any_value(ra0) AS ra0, any_value(ra1) AS ra1, any_value(dec0) AS dec0, any_value(dec1) AS dec1, count(*) AS stars FROM tl GROUP BY 1, 2, 3),
+ lf AS (SELECT *, {bits(0)} AS x, {bits(1)} AS y FROM nd n WHERE stars < {TILE_CAP} AND (depth = 0 OR EXISTS (SELECT 1 FROM nd p WHERE p.tile_id = n.tile_id AND p.depth = n.depth - 1 AND p.code = n.code // 4 AND p.stars >= {TILE_CAP})))
+ SELECT tile_id, CAST(depth AS INTEGER) AS depth, code, ra0 + (ra1 - ra0) * x / pow(2, depth) AS ra0, ra0 + (ra1 - ra0) * (x + 1) / pow(2, depth) AS ra1, dec0 + (dec1 - dec0) * y / pow(2, depth) AS dec0, dec0 + (dec1 - dec0) * (y + 1) / pow(2, depth) AS dec1, stars, false AS over FROM lf"""
+
+
+@query(_quad_sql(), views=("sky",))
 def agg_sky_tiles(spark, sf_dir):
-    sky = view(spark, sf_dir, "sky")
-    return S.split_dense(sky, S.plan_tiles(spark, -90.0, 30.0), 60, -90.0, 30.0)
+    return S.split_dense(view(spark, sf_dir, "sky"), S.plan_tiles(spark, -90.0, TILE_CELL), TILE_CAP, -90.0, TILE_CELL)
 
 
 @query(""", b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, star_id) AS r FROM stars WHERE NOT saturated) SELECT frame_id, star_id, r AS place FROM b WHERE r <= 20""")
@@ -168,11 +192,11 @@ def agg_detect_stars(spark, sf_dir):
     return St.detect(view(spark, sf_dir, "pixels").select("frame_id", "y", "x", "v"), sigma=1.5).select("frame_id", "blob", "pixels", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query(""", b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, star_id) AS i FROM stars), s AS (SELECT * FROM b WHERE i <= 6),
+@query(""", b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, star_id) AS i FROM stars), s AS (SELECT * FROM b WHERE i <= 30),
  t AS (SELECT a.frame_id, a.i, b.i AS j, c.i AS k, list_sort([sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), sqrt((b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y)), sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y))]) AS s FROM s a JOIN s b ON b.frame_id = a.frame_id AND a.i < b.i JOIN s c ON c.frame_id = a.frame_id AND b.i < c.i)
  SELECT frame_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(s[3], 6) AS long, round(s[2] / s[3], 6) AS r1, round(s[1] / s[3], 6) AS r2 FROM t WHERE s[3] >= 12 AND s[1] / s[3] >= 0.15""")
 def fit_triangles(spark, sf_dir):
-    return S.triangles(view(spark, sf_dir, "stars"), top=6).select("frame_id", "i", "j", "k", F.round("long", 6).alias("long"), F.round("r1", 6).alias("r1"), F.round("r2", 6).alias("r2"))
+    return S.triangles(view(spark, sf_dir, "stars")).select("frame_id", "i", "j", "k", F.round("long", 6).alias("long"), F.round("r1", 6).alias("r1"), F.round("r2", 6).alias("r2"))
 
 
 @query()
