@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import frames as ff
 from nightloom.operators import pixels as P
+from nightloom.operators.triage import frame_ids
 from nightloom.plans.frames import F2, KEYED, RANKED, keyed, ranked
 from nightloom.sources import fits, tables
-from nightloom.sources.staging import staging_dir
+from nightloom.sources.staging import staged, staging_dir
 from nightloom.streaming import imports
 
 QUERIES: dict = {}
@@ -62,10 +62,7 @@ def masters(spark, sf_dir):
     folder = staging_dir(spark, "masters")
     rgb = P.debayer_half(view(spark, sf_dir, "pixels"), keys=("frame_id", "master_id"))
     mean = P.channels(rgb, keys=("master_id",)).groupBy("master_id", "channel", "y", "x").agg(F.avg("v").alias("v"))
-    rows = fits.write_masters(mean, folder, extra=[("OBJECT", "'NGC 7000'", "target"), ("STACKCNT", "50", "")])
-    listed = staging_dir(spark, "masters-written")
-    rows.write.parquet(listed)
-    return folder, spark.read.parquet(listed)
+    return folder, fits.write_masters(mean, folder, extra=[("OBJECT", "'NGC 7000'", "target"), ("STACKCNT", "50", "")], rows=3)
 
 
 MASTER_SQL = """, rgb AS (SELECT master_id, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, frame_id, CASE WHEN y % 2 = 0 THEN CASE WHEN x % 2 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN x % 2 = 0 THEN 2 ELSE 1 END END AS channel, v FROM pixels),
@@ -90,19 +87,20 @@ def src_fits_files(spark, sf_dir):
     return fits.files(spark, folder).select(F.substring_index("path", "/", -1).alias("file"), "bytes")
 
 
-@query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, true AS in_order FROM (SELECT DISTINCT master_id FROM m)", views=("pixels",))
+@query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, row_number() OVER (ORDER BY master_id * 7919 % 1000 DESC, CAST(master_id AS VARCHAR) || '.fits') - 1 AS place FROM (SELECT DISTINCT master_id FROM m)", views=("pixels",))
 def srt_masters(spark, sf_dir):
-    """Masters newest first. Times differ from run to run; what stays is that none is newer than the one before."""
-    folder, _ = masters(spark, sf_dir)
-    newest = fits.files(spark, folder).select("path", "modified").orderBy(F.desc("modified"), "path")
-    w = Window.partitionBy(F.substring_index("path", "/", 1)).orderBy(F.desc("modified"), "path")  # the few files of one folder
-    return newest.withColumn("in_order", F.coalesce(F.lag("modified").over(w) >= F.col("modified"), F.lit(True))).select(F.substring_index("path", "/", -1).alias("file"), "in_order")
+    """Masters newest first, after their files have been given times that follow from their numbers."""
+    folder, rows = masters(spark, sf_dir)
+    staged(fits.dated(rows.select("path", (1_700_000_000 + F.col("master_id") * 7919 % 1000 * 60).cast("double").alias("second"))), "dated")
+    newest = fits.files(spark, folder).select((-F.unix_micros("modified")).alias("age"), "path")
+    return frame_ids(newest, ["age", "path"], "place").select(F.substring_index("path", "/", -1).alias("file"), "place")
 
 
 @query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, 'NGC 7000' AS object, CAST(4 AS BIGINT) AS width, CAST(3 AS BIGINT) AS planes, CAST(50 AS BIGINT) AS stack_count FROM (SELECT DISTINCT master_id FROM m)", views=("pixels",))
 def src_fits_headers(spark, sf_dir):
-    _, rows = masters(spark, sf_dir)
-    f = fits.fields(fits.cards(fits.headers(rows), "path", "header"), "path")
+    folder, _ = masters(spark, sf_dir)
+    spark.dataSource.register(fits.HeaderSource)
+    f = fits.fields(fits.cards(spark.read.format("fits_headers").load(folder), "path", "header"), "path")
     return f.select(F.substring_index("path", "/", -1).alias("file"), "object", "width", F.col("planes").cast("long").alias("planes"), "stack_count")
 
 
@@ -132,10 +130,15 @@ def stream(spark, sf_dir, name):
     return folder, spark.readStream.schema(schema).parquet(f"{folder}/in")
 
 
-@query(KEYED + " SELECT count(DISTINCT identity) AS identities FROM k")
+@query(KEYED + " SELECT DISTINCT identity FROM k WHERE identity NOT IN (SELECT identity FROM k WHERE frame_id % 3 <> 0)")
 def str_import_dedup(spark, sf_dir):
+    """What a stream of arriving frames adds to a catalogue that holds two thirds of them."""
     folder, s = stream(spark, sf_dir, "import")
-    return imports.drained(imports.new_frames(s, "60 days"), folder).agg(F.count("*").alias("identities"))
+    held = keyed(spark, sf_dir).where("frame_id % 3 <> 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    catalogue = imports.Catalogue(f"{folder}/catalogue")
+    catalogue.begin(held)
+    catalogue.import_stream(s, f"{folder}/state", "60 days")
+    return catalogue.read(spark).where(F.col("batch") >= 0).select("identity")
 
 
 SESSIONS = """, d AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE frame_id % 10 = 0), b AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 120000000 THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY project_id ORDER BY ts)),

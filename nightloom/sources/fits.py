@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from nightloom.operators.tiles import each_row
+from nightloom.sources.staging import staged
 
 CARD, BLOCK = 80, 2880
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -117,28 +123,55 @@ def headers(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(read, "path string, header string")
 
 
+def _is_image(x) -> bool:
+    return x.is_file and x.extension.lower() in ("fit", "fits", "fts")
+
+
+def dated(files: DataFrame) -> DataFrame:
+    """path of files(path, second) on a mounted file system, whose modification times become those seconds."""
+
+    def one(r):
+        store, at = _store(r["path"])
+        if store.type_name == "local":
+            os.utime(at, (r["second"], r["second"]))
+        yield (r["path"],)
+
+    return each_row(files.select("path", "second"), one, "path string")
+
+
 class _Part(InputPartition):
-    def __init__(self, paths):
-        self.paths = paths
+    def __init__(self, folder=None, paths=()):
+        self.folder, self.paths = folder, paths
+
+
+PART = 1000  # paths
 
 
 class HeaderReader(DataSourceReader):
-    """Headers of the FITS files below a folder, dealt to so many parts."""
+    """Headers of the FITS files below a folder. The driver lists the folder alone: each of its subfolders is a part, listed by the task that reads it, and its own files are parts of PART paths."""
 
     def __init__(self, options):
-        self.folder, self.parts = options["path"], int(options.get("parts", "8"))
+        self.folder = options["path"]
 
-    def partitions(self):
+    def _listed(self, at: str, recursive: bool):
         from pyarrow import fs
 
-        store, at = _store(self.folder)
-        found = store.get_file_info(fs.FileSelector(at, recursive=True))
-        head = self.folder[: len(self.folder) - len(at)] if self.folder.endswith(at) else ""
-        paths = sorted(head + x.path for x in found if x.is_file and x.extension.lower() in ("fit", "fits", "fts"))
-        return [_Part(paths[k :: self.parts]) for k in range(min(self.parts, len(paths)))] or [_Part([])]
+        store, root = _store(self.folder)
+        head = self.folder[: len(self.folder) - len(root)] if self.folder.endswith(root) else ""
+        return head, store.get_file_info(fs.FileSelector(at or root, recursive=recursive))
+
+    def partitions(self):
+        head, found = self._listed("", False)
+        paths = sorted(head + x.path for x in found if _is_image(x))
+        parts = [_Part(paths=paths[k : k + PART]) for k in range(0, len(paths), PART)]
+        return parts + [_Part(folder=x.path) for x in found if x.type.name == "Directory" and not x.base_name.startswith(".")] or [_Part()]
 
     def read(self, partition):
-        for path in partition.paths:
+        paths = partition.paths
+        if partition.folder is not None:
+            head, found = self._listed(partition.folder, True)
+            paths = sorted(head + x.path for x in found if _is_image(x))
+        for path in paths:
             header = read_header(path)
             if header is not None:
                 yield path, header
@@ -205,14 +238,18 @@ def card(key: str, value: str, comment: str = "") -> str:
     return f"{key:<8}= {value:>20}{' / ' + comment if comment else ''}"[:CARD].ljust(CARD)
 
 
+def image_header(planes: int, height: int, width: int, extra: list[tuple[str, str, str]] = ()) -> bytes:
+    """Header blocks of an image of 32-bit floats."""
+    head = [card("SIMPLE", "T"), card("BITPIX", "-32"), card("NAXIS", "3" if planes > 1 else "2"), card("NAXIS1", str(width)), card("NAXIS2", str(height))]
+    head += [card("NAXIS3", str(planes))] * (planes > 1) + [card(*e) for e in extra] + ["END".ljust(CARD)]
+    text = "".join(head).encode("ascii", "replace")
+    return text.ljust(-(-len(text) // BLOCK) * BLOCK)
+
+
 def image_bytes(image: np.ndarray, extra: list[tuple[str, str, str]] = ()) -> bytes:
     """A FITS file of 32-bit floats, planes one after another."""
-    p, h, w = image.shape
-    head = [card("SIMPLE", "T"), card("BITPIX", "-32"), card("NAXIS", "3" if p > 1 else "2"), card("NAXIS1", str(w)), card("NAXIS2", str(h))]
-    head += [card("NAXIS3", str(p))] * (p > 1) + [card(*e) for e in extra] + ["END".ljust(CARD)]
-    text = "".join(head).encode("ascii", "replace")
     data = image.astype(">f4").tobytes()
-    return text.ljust(-(-len(text) // BLOCK) * BLOCK) + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
+    return image_header(*image.shape, extra) + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
 
 
 STRUCTURAL = ["SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "NAXIS3", "BSCALE", "BZERO", "END"]
@@ -240,23 +277,111 @@ def provenance(frames: DataFrame, by: list[str], drizzle: int = 0, full_resoluti
     return g.select(*by, F.posexplode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("seq", "c")).select(*by, "seq", "c.key", "c.value", "c.comment")
 
 
-def write_masters(planes: DataFrame, folder: str, by: str = "master_id", extra: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """by, path, bytes: each master's pixels(by, channel, y, x, v) as one FITS file in a folder of a store that Arrow reaches."""
-    kind = planes.schema[by].dataType.simpleString()
+@dataclass
+class _Written(WriterCommitMessage):
+    token: str
 
-    def one(key, g):
-        import pandas as pd
 
-        image = np.zeros((int(g["channel"].max()) + 1, int(g["y"].max()) + 1, int(g["x"].max()) + 1))
-        image[g["channel"], g["y"], g["x"]] = g["v"]
-        store, at = _store(folder)
-        store.create_dir(at)
-        data = image_bytes(image, extra)
-        # A file appears whole under its name or not at all, also if a task is tried twice.
-        part = f"{at}/.{key[0]}-{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as f:
-            f.write(data)
-        store.move(part, f"{at}/{key[0]}.fits")
-        return pd.DataFrame([[key[0], f"{folder}/{key[0]}.fits", len(data)]], columns=[by, "path", "bytes"])
-
-    return planes.groupBy(by).applyInPandas(one, f"{by} {kind}, path string, bytes long")
+class PartsWriter(DataSourceWriter):
+    """Bands (master, channel, band, data) as one file each in a folder of the task's own. Commit makes the lists of tasks that count visible; abort removes all that the job has written."""
+
+    def __init__(self, options):
+        self.run = options["path"]
+
+    def write(self, iterator):
+        store, at = _store(self.run)
+        token = uuid.uuid4().hex  # of this attempt
+        store.create_dir(f"{at}/{token}")
+        lines = []
+        for n, row in enumerate(iterator):
+            with store.open_output_stream(f"{at}/{token}/{n}") as f:
+                f.write(bytes(row["data"]))
+            lines.append(json.dumps({"master": row["master"], "channel": row["channel"], "band": row["band"], "file": f"{token}/{n}"}))
+        with store.open_output_stream(f"{at}/{token}/list") as f:
+            f.write("\n".join(lines).encode())
+        return _Written(token)
+
+    def commit(self, messages):
+        store, at = _store(self.run)
+        store.create_dir(f"{at}/lists")
+        for m in messages:
+            store.move(f"{at}/{m.token}/list", f"{at}/lists/{m.token}.json")
+
+    def abort(self, messages):
+        store, at = _store(self.run)
+        if store.get_file_info(at).type.name == "Directory":
+            store.delete_dir(at)
+
+
+class PartsSink(DataSource):
+    """df.write.format("fits_parts").mode("append").save(folder)."""
+
+    @classmethod
+    def name(cls):
+        return "fits_parts"
+
+    def writer(self, schema, overwrite):
+        return PartsWriter(self.options)
+
+
+BAND = 64  # rows
+
+
+def _bands(planes: DataFrame, by: str, rows: int) -> DataFrame:
+    """master (the key as text), channel, band, data: the pixels of so many rows as big-endian floats, rows full and places without a pixel 0."""
+
+    def one(r):
+        cells = r["cells"]
+        data = np.zeros((min(rows, r["height"] - r["band"] * rows), r["width"]), dtype=">f4")
+        data[cells["y"] - r["band"] * rows, cells["x"]] = cells["v"]
+        yield r["master"], r["channel"], r["band"], data.tobytes()
+
+    cells = planes.groupBy(F.col(by).cast("string").alias("master"), F.col("channel").cast("int").alias("channel"), F.floor(F.col("y") / rows).cast("int").alias("band")).agg(F.collect_list(F.struct("y", "x", "v")).alias("cells"))
+    return each_row(cells.join(_sizes(planes, by).drop(by), "master"), one, "master string, channel int, band int, data binary")
+
+
+def _sizes(planes: DataFrame, by: str) -> DataFrame:
+    most = lambda c, n: (F.max(c) + 1).cast("int").alias(n)
+    return planes.groupBy(by).agg(most("channel", "planes"), most("y", "height"), most("x", "width")).withColumn("master", F.col(by).cast("string"))
+
+
+def write_masters(planes: DataFrame, folder: str, by: str = "master_id", extra: list[tuple[str, str, str]] = (), rows: int = BAND) -> DataFrame:
+    """by, path, bytes: each master's pixels(by, channel, y, x, v) as one FITS file in a folder of a store that Arrow reaches.
+
+    Tasks write bands of rows, each a part of its own; once all are committed, the parts of a master are copied one after another behind its header. So a task holds a band, never a master. A file
+    appears whole under its name or not at all: if a task fails for good, the parts go and no file is made.
+    """
+    spark = planes.sparkSession
+    spark.dataSource.register(PartsSink)
+    run = f"{folder.rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    bands = _bands(planes, by, rows)
+    bands.write.format("fits_parts").mode("append").save(run)
+    parts = spark.read.schema("master string, channel int, band int, file string").json(f"{run}/lists")
+    parts = parts.groupBy("master").agg(F.collect_list(F.struct("channel", "band", "file")).alias("parts"))
+
+    def joined(r):
+        store, at = _store(run)
+        head = image_header(r["planes"], r["height"], r["width"], extra)
+        files = {(int(c), int(b)): f for c, b, f in zip(r["parts"]["channel"], r["parts"]["band"], r["parts"]["file"])}
+        goal, size = f"{at.rsplit('/', 1)[0]}/{r['master']}.fits", len(head)
+        name = f"{at}/whole-{uuid.uuid4().hex}"
+        with store.open_output_stream(name) as out:
+            out.write(head)
+            for c in range(r["planes"]):
+                for b in range(-(-r["height"] // rows)):
+                    n = 4 * r["width"] * min(rows, r["height"] - b * rows)
+                    if (c, b) in files:
+                        with store.open_input_stream(f"{at}/{files[c, b]}") as part:
+                            out.write(part.read())
+                    else:
+                        out.write(bytes(n))
+                    size += n
+            out.write(bytes(-size % BLOCK))
+        store.move(name, goal)
+        yield r[by], f"{folder.rstrip('/')}/{r['master']}.fits", size + -size % BLOCK
+
+    kind = planes.schema[by].dataType.simpleString()
+    made = staged(each_row(_sizes(planes, by).join(parts, "master"), joined, f"{by} {kind}, path string, bytes long"), "masters")
+    store, at = _store(run)
+    store.delete_dir(at)
+    return made

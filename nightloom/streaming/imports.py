@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,13 +11,38 @@ def timed(frames: DataFrame, late: str) -> DataFrame:
 
 
 def new_frames(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Frames not seen before by identity within the watermark; older repeats are the batch anti-join's."""
+    """Frames not seen before by identity within the watermark; older repeats are the catalogue's."""
     return timed(frames, late).dropDuplicatesWithinWatermark(["identity"])
 
 
-def not_held(batch: DataFrame, held: DataFrame) -> DataFrame:
-    """For foreachBatch: a batch without frames that the catalogue holds."""
-    return batch.join(held.select("identity").where("identity <> ''").distinct(), "identity", "left_anti")
+class Catalogue:
+    """A catalogue of frames in a folder, to which each micro-batch adds what isn't held: one folder a batch.
+
+    A batch is compared with all other batches and replaces what it wrote itself, so a batch that is run again after a failure adds nothing. Frames with a blank identity can't be told from others
+    and are always added.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def begin(self, held: DataFrame) -> None:
+        """The catalogue as it is before any batch."""
+        held.write.mode("overwrite").parquet(f"{self.path}/batch=-1")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All frames, with the batch that added them; -1 is what it began with."""
+        return spark.read.parquet(self.path).withColumn("batch", F.col("batch").cast("long"))
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch."""
+        others = self.read(batch.sparkSession).where((F.col("batch") != batch_id) & (F.col("identity") != "")).select("identity").distinct()
+        named = batch.where("identity <> ''").dropDuplicates(["identity"]).join(others, "identity", "left_anti")
+        named.unionByName(batch.where("identity is null or identity = ''")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def import_stream(self, frames: DataFrame, state: str, late: str = "10 minutes") -> None:
+        """Run a stream over what there is. Repeats within the watermark go by the stream's own state, older ones by the catalogue."""
+        q = new_frames(frames, late).writeStream.foreachBatch(self.merge).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
 
 
 def live_sessions(frames: DataFrame, gap: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
