@@ -85,8 +85,8 @@ def all_orders(counts: DataFrame) -> DataFrame:
     for order in permutations(LETTERS):
         for k in range(len(LETTERS)):
             before = sum(1 << LETTERS.index(x) for x in order[:k])
-            steps.append(f"('{''.join(order)}', {k + 1}, {before}, {1 << LETTERS.index(order[k])})")
-    table = counts.sparkSession.sql(f"select * from values {', '.join(steps)} as t(filter_order, step, before, filter)")
+            steps.append(f"struct('{''.join(order)}' filter_order, {k + 1} step, {before} before, {1 << LETTERS.index(order[k])} filter)")
+    table = F.expr(f"inline(array({', '.join(steps)}))")  # 600 fixed rows for every part
 
     def n(s: Column, of: str = "every") -> Column:
         return F.element_at("n", s.cast("int") + 1)[of]
@@ -97,7 +97,7 @@ def all_orders(counts: DataFrame) -> DataFrame:
     # A set of s filters stands before a filter in s! * (the others)! orders.
     weight = [math.factorial(s) * math.factorial(len(LETTERS) - 1 - s) for s in range(len(LETTERS))]
     gained = [F.when(one.bitwiseAND(s) == 0, (n(F.lit(s)) - n(one.bitwiseOR(s))) * weight[s.bit_count()]).otherwise(0) for s in range(SUBSETS - 1)]
-    return counts.join(F.broadcast(table)).select(  # 600 fixed rows for every part
+    return counts.select("part", "n", table).select(
         "part",
         "filter_order",
         "step",
