@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -44,6 +45,20 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def interpreted(spark: SparkSession):
+    """For many jobs on tables of some thousand rows: their plans are run as they are, in one part. To compile each and to plan it anew after every exchange takes longer than to run it, and stays in the driver's memory."""
+    ways = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k, None) for k in ways}
+    for k, v in ways.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def components(edges: DataFrame, name: str, limit: int = 60) -> DataFrame:
     """Connected components of edges(a, b): (node, comp), comp the smallest node reachable.
 

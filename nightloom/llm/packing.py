@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import map_lists, saved
+from nightloom.llm.common import interpreted, map_lists, saved
 
 END = 2  # the id that closes every document
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two forms
@@ -199,7 +199,9 @@ def pack(docs: DataFrame, room: int = 1024, key: str = "doc_id", text: str = "te
     counts = dealt.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = saved(counts.select("length", "cell", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "cells")
-    fits = best_fit_rounds(counts.groupBy("length").agg(F.sum("n").alias("n")), room)
+    sizes = saved(counts.groupBy("length").agg(F.sum("n").alias("n")).coalesce(1), "sizes")  # a row a length
+    with interpreted(docs.sparkSession):
+        fits = best_fit_rounds(sizes, room)
     fits = fits.select(F.col("length").alias("f_length"), "first", (F.col("first") + F.col("n") * F.col("f")).alias("end"), "f", "sequence", F.col("offset").alias("from"))
     if fits.count() <= 50_000:  # bounded by the sizes and rounds, not by the corpus; 2 MB here
         fits = F.broadcast(fits)
