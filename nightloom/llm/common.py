@@ -32,6 +32,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    released()  # what plans and closures took in the driver's Python
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
