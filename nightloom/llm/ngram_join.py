@@ -12,7 +12,9 @@ model over the sizes of all documents.
 The search runs over the different sets. First, exactly and over all of them, tokens are counted in parts of the universe: a set of whose tokens
 too many are in no other set has no link, and leaves. Sets that meet in a signature which few have are compared. Of a signature that many have,
 a hub is chosen; all are compared with it, and their differences from it are the sets of a new problem without what they share: distances stay as they
-are, and whatever has too few tokens in common with other classes of linked sets leaves. What is then left is compared.
+are, and whatever has too few tokens in common with other classes of linked sets leaves. What is left is known by its part: the tokens of its difference that
+other classes have too. Sets of different classes share tokens of their parts only, so of equal parts the set with the least left to explain stands for all,
+and as many pairs are compared as different parts of classes ask for, however many texts have them.
 """
 
 from __future__ import annotations
@@ -404,51 +406,79 @@ def _differences(families: DataFrame, nodes: DataFrame, classes: DataFrame, name
     return saved(found.join(classes.select("node", "comp"), "node"), name)
 
 
-def _outside(differences: DataFrame) -> DataFrame:
-    """hub, node, o: how many tokens of a difference the differences of other classes in the family have too."""
+def _parts(differences: DataFrame) -> DataFrame:
+    """hub, node, o, x1, x2: of a difference, how many tokens the differences of other classes in the family have too, and 128 bits that name these tokens."""
 
     def compare(key, table):
         import pyarrow as pa
 
         tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
         every = np.concatenate(tokens)
+        ends = np.cumsum([len(t) for t in tokens])
         of = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         _, at = np.unique(every, return_inverse=True)
         low, high = np.full(at.max(initial=-1) + 1, len(comp)), np.full(at.max(initial=-1) + 1, -1)
         np.minimum.at(low, at, comp[of])
         np.maximum.at(high, at, comp[of])
-        o = np.bincount(of[(low != high)[at]], minlength=len(tokens))
-        return pa.table({"hub": table.column("hub"), "node": table.column("node"), "o": pa.array(o, pa.int64())})
+        shared = (low != high)[at]
 
-    return differences.groupBy("hub", "bucket").applyInArrow(compare, "hub long, node long, o long").groupBy("hub", "node").agg(F.sum("o").alias("o"))
+        def named(x):
+            upto = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(shared, x, np.uint64(0)))])
+            return pa.array((upto[ends] ^ upto[np.concatenate([[0], ends[:-1]])]).view(np.int64))
 
+        o = np.bincount(of[shared], minlength=len(tokens))
+        first = _mix(every + _MULTIPLIERS[0])
+        return pa.table({"hub": table.column("hub"), "node": table.column("node"), "o": pa.array(o, pa.int64()), "x1": named(first), "x2": named(_mix(first + _MULTIPLIERS[1]))})
 
-def _within_families(families: DataFrame, nodes: DataFrame, sizes: DataFrame, name: str, rounds: int = 3) -> DataFrame:
-    """Pairs (a, b) of families whose sets are in different classes and may be linked.
+    found = differences.groupBy("hub", "bucket").applyInArrow(compare, "hub long, node long, o long, x1 long, x2 long")
+    return found.groupBy("hub", "node").agg(F.sum("o").alias("o"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+
+
+def _left_of_families(families: DataFrame, nodes: DataFrame, sizes: DataFrame, name: str, rounds: int = 3) -> tuple[DataFrame, int]:
+    """Rows (hub, node, comp, n, e, o, x1, x2, excess) of the sets of families(node, hub) that may be linked to another class of their family, and how many.
 
     With differences x and y from the hub, two sets differ in |x| + |y| - 2 |x & y| tokens, so a link asks for 2 |x & y| >= excess(a) + excess(b), where a set's excess is the
     size of its difference less its part of what a similar pair may differ in. No set shares more with other classes than its o. Sets that
-    this rules out go, which lowers the o of others; what is left is compared.
+    this rules out go, which lowers the o of others.
     """
     several = families.join(sizes.select("node", "comp"), "node").groupBy("hub").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("hub")
     open_ = saved(families.join(several, "hub", "left_semi"), f"{name}-open")
     found = _differences(open_, nodes, sizes, name)
     for r in range(rounds):
-        rows = found.groupBy("hub", "node", "comp").agg(F.max("delta").alias("delta")).join(_outside(found), ["hub", "node"]).join(sizes.select("node", "n", "e"), "node")
+        rows = found.groupBy("hub", "node", "comp").agg(F.max("delta").alias("delta")).join(_parts(found), ["hub", "node"]).join(sizes.select("node", "n", "e"), "node")
         rows = saved(rows.withColumn("excess", F.expr(f"{MOST} * delta - {LEAST} * n")), f"{name}-{r}")
         # The least excess of another class: that of the family's best, or of the best outside its class.
         best = rows.groupBy("hub").agg(F.min(F.struct("excess", "comp")).alias("best"), F.min("n").alias("pn"))
         second = rows.join(best, "hub").where("comp <> best.comp").groupBy("hub").agg(F.min("excess").alias("second"))
         partner = best.join(second, "hub").selectExpr("hub", "best.excess first", "best.comp of", "second", "pn")
         kept = rows.join(partner, "hub").where(f"{2 * MOST} * o >= excess + CASE WHEN comp = of THEN second ELSE first END AND {MOST} * e >= {PERCENT} * (n + pn)")
-        kept = saved(kept.select("hub", "node", "comp", "n", "e", "o", "excess"), f"{name}-kept-{r}")
-        if r == rounds - 1 or kept.count() * 10 > rows.count() * 9:
+        kept = saved(kept.select("hub", "node", "comp", "n", "e", "o", "x1", "x2", "excess"), f"{name}-kept-{r}")
+        many = kept.count()
+        if r == rounds - 1 or many * 10 > rows.count() * 9:
             break
         found = found.join(kept.select("hub", "node"), ["hub", "node"], "left_semi")
-    other = kept.selectExpr("hub", "node b", "comp pcomp", "n pn", "e pe", "o po", "excess pexcess")
+    return kept, many
+
+
+def _of_one_part(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with the same part and the one with the least excess among them, where the two are linked: they share their part, o tokens. Two others
+    that are linked are linked to that one as well, so the classes are whole."""
+    part = ["hub", "o", "x1", "x2"]
+    least = left.groupBy(*part).agg(F.min(F.struct("excess", "node", "comp")).alias("least"))
+    # A part that very many sets have is a hot key: the one row of the least goes to all shares.
+    share = F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")
+    least = least.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    pairs = left.withColumn("share", share).join(least, [*part, "share"])
+    return pairs.where(f"comp <> least.comp AND {2 * MOST} * o >= excess + least.excess").selectExpr("node a", "least.node b").distinct()
+
+
+def _between_parts(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that may be linked; of the sets of a class with the same part that with the least excess stands for all."""
+    one = left.groupBy("hub", "o", "x1", "x2", "comp").agg(F.min(F.struct("excess", "node", "n", "e")).alias("s")).select("hub", "o", "comp", "s.*")
+    other = one.selectExpr("hub", "node b", "comp pcomp", "n pn", "e pe", "o po", "excess pexcess")
     may = f"node < b AND comp <> pcomp AND {2 * MOST} * least(o, po) >= excess + pexcess AND {_FIT}"
-    return kept.join(other, "hub").where(may).selectExpr("node a", "b").distinct()
+    return one.join(other, "hub").where(may).selectExpr("node a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
@@ -488,10 +518,16 @@ def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     fit = both.join(size.selectExpr("node a", "n", "e"), "a").join(size.selectExpr("node b", "n pn", "e pe"), "b").where(_FIT).select("a", "b")
     links = _links(_measured(fit, nodes, "stars-measured"))
     classes = saved(size.join(_labels(nodes, links, "stars"), "node"), "classes")
-    rest = _within_groups(groups, classes).union(_within_families(families, nodes, classes, "families-apart")).distinct()
-    rest = _links(_measured(rest, nodes, "rest-measured"))
+    families, many = _left_of_families(families, nodes, classes, "families-apart")
+    rest = _within_groups(groups, classes)
+    links = links.union(_links(_measured(rest.union(_of_one_part(families)).distinct() if many else rest, nodes, "rest-measured")))
+    if many:
+        classes = saved(size.join(_labels(nodes, links, "parts"), "node"), "classes-of-parts")
+        families, many = _left_of_families(families.select("node", "hub"), nodes, classes, "parts-apart")
+        if many:
+            links = links.union(_links(_measured(_between_parts(families), nodes, "parts-measured")))
     # Ends of links as documents; an id with several texts is one document.
-    ends = links.union(rest).join(nodes.selectExpr("node a", "first x"), "a").join(nodes.selectExpr("node b", "first y"), "b").selectExpr("x a", "y b")
+    ends = links.join(nodes.selectExpr("node a", "first x"), "a").join(nodes.selectExpr("node b", "first y"), "b").selectExpr("x a", "y b")
     several = known.groupBy("doc_id").agg(F.min(F.struct(*KEY)).alias("k"), F.max(F.struct(*KEY)).alias("l")).where("k <> l").select("doc_id")
     texts_of = known.join(several, "doc_id", "left_semi").distinct().join(sets, KEY).selectExpr("doc_id a", "first b")
     found = components(ends.union(texts_of), "documents")
