@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARES = 64
+DEALT = 16  # shares of a line's occurrences in joins: a line that a third of all documents have is a hot key
 LG_K = 12  # sketches of 4096 registers: a standard error of 1.6 %
 NEAR = 0.1  # estimates within a tenth of a threshold are counted exactly: six standard errors
 
@@ -31,12 +32,18 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return d.where("line <> ''").withColumn("line", F.xxhash64("line"))
 
 
+def _of_lines(seen: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of seen whose line is one of lines: joined by line and share, each line repeated over the shares."""
+    every = lines.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return seen.withColumn("dealt", F.pmod("doc", F.lit(DEALT)).cast("int")).join(every, ["line", "dealt"], "left_semi").drop("dealt")
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """line: hashes of boilerplate lines."""
     seen = _occurrences(docs)
     # A line on min_sites sites occurs that often at least.
     often = seen.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    some = seen.join(often, "line", "left_semi")
+    some = _of_lines(seen, often)
     # Sketches of shares of a line's occurrences, then their union: a line that a third of all documents have is many shares.
     shares = some.groupBy("line", F.pmod("body", F.lit(SHARES)).alias("share")).agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in ("site", "body")])
     sketched = shares.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(n) for c, n in (("site", "sites"), ("body", "texts"))])
@@ -47,7 +54,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     clear = sketched.where(wide & ~unsure).select("line")
     doubt = sketched.where(unsure & ~hopeless).select("line")
     exact = (
-        some.join(doubt, "line", "left_semi")
+        _of_lines(some, doubt)
         .groupBy("line")
         .agg(F.count_distinct("site").alias("sites"), F.count_distinct("body").alias("texts"))
     )
@@ -63,7 +70,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     once as texts, and each loses the same lines. An empty table gives an empty one.
     """
     bad = boilerplate_lines(docs, min_sites)
-    cut = _occurrences(docs).select("doc", "line").join(bad, "line", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("bad"))
+    cut = _of_lines(_occurrences(docs).select("doc", "line"), bad).groupBy("doc").agg(F.collect_set("line").alias("bad"))
     # The row as one column: no name in it can meet one of ours.
     d = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.xxhash64("row.doc_id", "row.text"))
     d = d.join(cut, F.col("id") == F.col("doc"), "left").select("row", "bad", _lines(F.col("row.text")).alias("parts"))
