@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from nightloom.fixtures import view, with_views
 from nightloom.functions import frames as ff
 from nightloom.operators import pixels as P
+from nightloom.operators.tiles import from_tiles
 from nightloom.operators.triage import frame_ids
 from nightloom.plans.frames import F2, KEYED, RANKED, keyed, ranked
-from nightloom.sources import fits, tables
+from nightloom.sources import fits, fits_tiles, tables
 from nightloom.sources.staging import staged, staging_dir
 from nightloom.streaming import imports
 
@@ -77,8 +78,16 @@ def sink_fits_master(spark, sf_dir):
 @query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, channel, y, x, round(v, 4) AS v FROM m", views=("pixels",))
 def src_fits_pixels(spark, sf_dir):
     folder, _ = masters(spark, sf_dir)
-    p = fits.pixels(spark.read.format("binaryFile").load(folder))
-    return p.where("error is null").select(F.substring_index("path", "/", -1).alias("file"), "channel", "y", "x", F.round("v", 4).alias("v"))
+    p = from_tiles(fits_tiles.read_tiles(spark, folder).where("error is null"), keys=("path", "channel"))
+    return p.select(F.substring_index("path", "/", -1).alias("file"), "channel", "y", "x", F.round("v", 4).alias("v"))
+
+
+@query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, y, x, round(v, 4) AS v FROM m WHERE channel = 1 AND y BETWEEN 1 AND 2 AND x >= 2", views=("pixels",))
+def src_fits_crop(spark, sf_dir):
+    """A crop of one plane: tiles of two pixels a side, of which the reader takes those that the crop needs."""
+    folder, _ = masters(spark, sf_dir)
+    green = fits_tiles.read_tiles(spark, folder, side=2).where("channel = 1")
+    return fits_tiles.crop(green, 1, 3, 2, 4, side=2).select(F.substring_index("path", "/", -1).alias("file"), "y", "x", F.round("v", 4).alias("v"))
 
 
 @query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, CAST(5760 AS BIGINT) AS bytes FROM (SELECT DISTINCT master_id FROM m)", views=("pixels",))
@@ -141,6 +150,22 @@ def str_import_dedup(spark, sf_dir):
     return catalogue.read(spark).where(F.col("batch") >= 0).select("identity")
 
 
+@query(MASTER_SQL + " SELECT CAST(master_id AS VARCHAR) || '.fits' AS file, 'NGC 7000' AS object, CAST(4 AS BIGINT) AS width, CAST(50 AS BIGINT) AS stack_count FROM (SELECT DISTINCT master_id FROM m) WHERE master_id % 3 = 0", views=("pixels",))
+def str_import_headers(spark, sf_dir):
+    """What a stream of the headers of a folder adds to a catalogue that holds two thirds of its files; the second run begins where the first one ended."""
+    folder, rows = masters(spark, sf_dir)
+    root = staging_dir(spark, "import-headers")
+    spark.dataSource.register(fits.HeaderSource)
+    headers = spark.readStream.format("fits_headers").load(folder)
+    own = F.concat(F.lit(f"{folder}/"), F.col("master_id").cast("string"), F.lit(".fits"))
+    catalogue = imports.Catalogue(f"{root}/catalogue")
+    none = F.lit(None)
+    catalogue.begin(rows.where("master_id % 3 <> 0").select(own.alias("identity"), none.cast("string").alias("object"), none.cast("long").alias("width"), none.cast("long").alias("stack_count")))
+    for _ in range(2):
+        catalogue.import_headers(headers, f"{root}/state")
+    return catalogue.read(spark).where("batch >= 0").select(F.substring_index("identity", "/", -1).alias("file"), "object", "width", "stack_count")
+
+
 SESSIONS = """, d AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE frame_id % 10 = 0), b AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 120000000 THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY project_id ORDER BY ts)),
  r AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b), g AS (SELECT project_id, run, min(ts) AS lo, max(ts) AS hi, count(*) AS frames, sum(exptime) AS exposure FROM r GROUP BY 1, 2)"""
 
@@ -158,3 +183,17 @@ def str_sessions(spark, sf_dir):
 def str_night_totals(spark, sf_dir):
     folder, s = stream(spark, sf_dir, "nights")
     return imports.drained(imports.night_totals(s), folder).withColumn("night", F.col("night").cast("string"))
+
+
+@query(F2 + """, d AS (SELECT CAST(night AS DATE) + INTERVAL 36 HOUR <= (SELECT max(ts) FROM f) - INTERVAL 1 HOUR AS over, frame_id % 10 = 0 AS again FROM f), c AS (SELECT over, again, count(*) AS n FROM d GROUP BY ALL)
+ SELECT CAST(sum(n) + sum(CASE WHEN again THEN n ELSE 0 END) AS BIGINT) AS sent, CAST(0 AS BIGINT) AS untimed, CAST(sum(CASE WHEN over THEN n ELSE 0 END) AS BIGINT) AS closed, CAST(sum(CASE WHEN over THEN 0 WHEN again THEN 2 * n ELSE n END) AS BIGINT) AS open,
+ CAST(sum(CASE WHEN over AND again THEN n ELSE 0 END) AS BIGINT) AS late FROM c""")
+def str_night_ledger(spark, sf_dir):
+    """Where the frames of a stream went when a tenth of them come again after their nights are closed."""
+    folder = staging_dir(spark, "ledger")
+    f = keyed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (f, f.where("frame_id % 10 = 0")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        _, went = imports.counted_night_totals(s, f"{folder}/nights-{folder[-8:]}")
+    return went

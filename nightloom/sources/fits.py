@@ -178,7 +178,7 @@ class HeaderReader(DataSourceReader):
 
 
 class HeaderSource(DataSource):
-    """spark.read.format("fits_headers").load(folder)."""
+    """spark.read.format("fits_headers").load(folder), and spark.readStream for those that arrive (options settle, overlap)."""
 
     @classmethod
     def name(cls):
@@ -190,6 +190,11 @@ class HeaderSource(DataSource):
     def reader(self, schema):
         return HeaderReader(self.options)
 
+    def streamReader(self, schema):
+        from nightloom.sources.fits_tiles import HeaderStreamReader
+
+        return HeaderStreamReader(self.options)
+
 
 def parse_header(data: bytes) -> tuple[dict[str, str], int]:
     """Bare values by key (first match) and where the data begin."""
