@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightloom.fixtures import view, with_views
 from nightloom.functions import wcs as W
 from nightloom.functions.robust import upper_median
+from nightloom.operators import colour as C
 from nightloom.operators import sky as S
 from nightloom.operators import stars as St
 from nightloom.sources import fits
-from nightloom.sources.staging import staging_dir
+from nightloom.sources.staging import staged, staging_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -305,3 +307,46 @@ def agg_star_colours(spark, sf_dir):
     i = F.col("frame_id")
     stars = rgb.select("frame_id").distinct().select("frame_id", i.alias("star_id"), F.lit(1.5).alias("x"), F.lit(1.5).alias("y"), F.lit(0.5).alias("hfr"))
     return St.star_colours(stars, rgb, width=4, height=4, limit=2.0, edge=0.0, radius=1.5).select("frame_id", "star_id", F.round("r", 6).alias("r"), F.round("b", 6).alias("b"))
+
+
+PLANE = 224  # pixels a side of the planes that stars are painted on
+
+
+def painted(spark, sf_dir):
+    """Planes frame_id, y, x, r, g, b of ten frames' brightest-set stars each, and these stars (frame_id, source_id, px, py, colour), whose log ratios follow from their colour."""
+    s = view(spark, sf_dir, "stars").where("hfr > 2.45")
+    at = lambda k: 4 + F.pmod(F.xxhash64("star_id", F.lit(k)), F.lit(1000)) / 1000.0 * (PLANE - 8)
+    s = s.select(F.floor(F.col("frame_id") / 10).alias("frame_id"), F.col("star_id").alias("source_id"), at(1).alias("px"), at(2).alias("py"), (F.col("star_id") % 40 / 20.0).alias("colour"), (0.05 + F.col("flux") / 300.0).alias("light"))
+    around = lambda c: F.sequence(F.floor(c) - 5, F.floor(c) + 5)
+    near = s.withColumn("y", F.explode(around("py"))).withColumn("x", F.explode(around("px"))).where(F.col("y").between(0, PLANE - 1) & F.col("x").between(0, PLANE - 1))
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    v = F.col("light") * F.exp(-(dx * dx + dy * dy) / (2 * 1.4**2))
+    ten = lambda a, b: F.pow(F.lit(10.0), a + b * F.col("colour"))
+    near = near.select("frame_id", "y", "x", (v * ten(0.30, -0.20)).alias("r"), v.alias("g"), (v * ten(-0.25, 0.15)).alias("b"))
+    side = F.sequence(F.lit(0).cast("long"), F.lit(PLANE - 1).cast("long"))
+    sky = s.select("frame_id").distinct().withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
+    grain = lambda k: F.pmod((F.col("y") * PLANE + F.col("x") + k) * 7919 + F.col("frame_id") * 104729, F.lit(1000)) / 1000.0 * 6e-4
+    sky = sky.select("frame_id", "y", "x", *[(level + grain(k)).alias(c) for k, (c, level) in enumerate(zip("rgb", (0.030, 0.020, 0.026)))])
+    rgb = near.unionByName(sky).groupBy("frame_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(*[F.sum(c).alias(c) for c in "rgb"])
+    return staged(rgb, "painted"), s.drop("light")
+
+
+def _calibration(out):
+    numbers = [c for c in out.columns if c not in ("frame_id", "status", "found", "used")]
+    return out.select("frame_id", "status", "found", "used", *[F.round(c, 6).alias(c) for c in sorted(numbers)])
+
+
+@query()
+def agg_colour_calibration(spark, sf_dir):
+    """Calibration against the catalogue of painted planes: of four, one has no solution and one a catalogue of forty."""
+    rgb, stars = painted(spark, sf_dir)
+    k = F.col("frame_id") % 4
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("source_id"))
+    sources = stars.withColumn("place", place).where((k != 1) | (F.col("place") <= 40)).drop("place")
+    return _calibration(C.calibrate(rgb, PLANE, PLANE, "catalogue", stars.where(k != 3).select("frame_id").distinct(), sources, white=0.82, side=32))
+
+
+@query()
+def agg_colour_field(spark, sf_dir):
+    """Calibration of painted planes by their own stars."""
+    return _calibration(C.calibrate(painted(spark, sf_dir)[0], PLANE, PLANE, "stars", side=32))

@@ -219,26 +219,6 @@ def read_image(data: bytes) -> np.ndarray:
     return values * float(h.get("BSCALE", 1)) + float(h.get("BZERO", 0))
 
 
-def pixels(binary: DataFrame) -> DataFrame:
-    """path, channel, y, x, v, error from binaryFile rows; an unreadable file is one row with its error. Rows go out a plane at a time."""
-
-    def decode(batches):
-        import pandas as pd
-
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    image = read_image(content)
-                except (ValueError, KeyError) as e:
-                    yield pd.DataFrame({"path": [path], "channel": [None], "y": [None], "x": [None], "v": [None], "error": [str(e)]}).astype({"channel": "Int32", "y": "Int32", "x": "Int32"})
-                    continue
-                for c, plane in enumerate(image):
-                    yy, xx = np.indices(plane.shape)
-                    yield pd.DataFrame({"path": path, "channel": c, "y": yy.ravel(), "x": xx.ravel(), "v": plane.ravel(), "error": None})
-
-    return binary.select("path", "content").mapInPandas(decode, "path string, channel int, y int, x int, v double, error string")
-
-
 def card(key: str, value: str, comment: str = "") -> str:
     return f"{key:<8}= {value:>20}{' / ' + comment if comment else ''}"[:CARD].ljust(CARD)
 
