@@ -40,3 +40,16 @@ def test_all_frames_set_the_limits(spark, frames):
     assert len(got) == 64
     for found in (got, twin):
         assert all(abs(found[k][0] - value[k]) < 2e-6 and found[k][1:] == (clipped[k], FRAMES) for k in range(64))
+
+
+def test_a_stack_of_all_frames_is_compared(spark, frames):
+    folder, v = frames
+    cube, weights = matched(v)
+    value, clipped = K.combine(cube, weights, 2.0, 2.5, np.arange(FRAMES))
+    ratio = cube[0].std(ddof=1) / value.std(ddof=1)
+    r = catalogue.QUERIES["agg_stack_compare"](spark, folder).first()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    twin = duck.execute("SELECT frames, clipped_pct, noise_ratio FROM (" + catalogue.ORACLE["agg_stack_compare"] + ")").fetchone()
+    for frames_, pct, found in ((r["frames"], r["clipped_pct"], r["noise_ratio"]), twin):
+        assert frames_ == FRAMES and abs(pct - 100 * clipped.sum() / cube.size) < 2e-6 and abs(found - ratio) < 2e-4
