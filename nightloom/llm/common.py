@@ -78,6 +78,18 @@ def interpreted(spark: SparkSession):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+@contextlib.contextmanager
+def unshuffled(spark: SparkSession):
+    """For jobs that write their tables and read them back: what a job shuffled is deleted as it ends, not when the driver next collects its garbage."""
+    way = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(way, None)
+    spark.conf.set(way, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(way, before) if before is not None else spark.conf.unset(way)
+
+
 def components(edges: DataFrame, name: str, limit: int = 60) -> DataFrame:
     """Connected components of edges(a, b): (node, comp), comp the smallest node reachable.
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import components, dropped, released, saved
+from nightloom.llm.common import components, dropped, released, saved, unshuffled
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
@@ -239,9 +239,7 @@ def _sharing(scanned: DataFrame) -> DataFrame:
         ends = np.cumsum([len(d) for d in docs])
         counts = []
         for d, end in zip(docs, ends, strict=True):
-            own = d[alone[end - len(d) : end] & (d != _SHARED)]
-            at, n = np.unique(own, return_counts=True)
-            counts.append(np.stack([at.astype(np.int64), n]).astype(np.uint32).tobytes())
+            counts.append(np.sort(d[alone[end - len(d) : end] & (d != _SHARED)]).tobytes())
         return pa.table({"part": table.column("part"), "kind": pa.array([0] * len(docs), pa.int32()), "packed": pa.array(counts, pa.binary())})
 
     def total(key, table):
@@ -252,8 +250,7 @@ def _sharing(scanned: DataFrame) -> DataFrame:
         alone = np.zeros(len(sets), np.int64)
         for k, p in zip(kind, packed, strict=True):
             if k == 0:
-                at, n = np.frombuffer(p, np.uint32).reshape(2, -1)
-                alone[at] += n
+                alone += np.bincount(np.frombuffer(p, np.uint16), minlength=len(sets))
         keep = 100 * (sets[:, 0] - alone) >= PERCENT * sets[:, 0]
         return pa.table({c: pa.array(v[keep]) for c, v in zip((*KEY, "alone"), (*sets.T, alone), strict=True)})
 
@@ -481,6 +478,23 @@ def _between_parts(left: DataFrame) -> DataFrame:
     return one.join(other, "hub").where(may).selectExpr("node a", "b").distinct()
 
 
+SLOTS = 1 << 27  # bits at most that tell ids, 16 MB
+_WORD = 32768  # bits of one of Spark's bitmaps
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ids(doc_id). Bitmaps of hashed ids, of at most SLOTS bits, go to where the texts are and let few others pass; so only these are shuffled
+    for the join, which is exact. Whatever ids the bitmaps are too small for merely pass more texts. The join itself has no proven bound: it is not to be broadcast, whatever its size here."""
+    words = min(SLOTS, 32 * ids.count()) // _WORD + 1
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(words * _WORD))
+    word, bit = F.floor(slot / _WORD).cast("int").alias("word"), (slot % _WORD).alias("bit")
+    bits = ids.select(word, bit).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    octet = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = docs.select("*", word, bit).join(F.broadcast(bits), "word").where(F.getbit(octet, F.col("bit") % 8) == 1)
+    # A semi join would be moved before the bitmaps.
+    return some.select(*docs.columns).join(ids.select("doc_id").distinct().hint("merge"), "doc_id").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
@@ -490,7 +504,11 @@ def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     component and takes no part. Other columns are not carried. An empty table gives an empty one.
     part_of: the first pass compares the tokens of one part of so many of the universe.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with unshuffled(docs.sparkSession):
+        return _near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), part_of)
+
+
+def _near_duplicates(docs: DataFrame, part_of: int) -> DataFrame:
     scanned = saved(_scanned(docs, part_of, _buckets(docs, part_of)), "scanned")
     sizes = scanned.where("kind = 1").select("doc_id", *KEY)
     known = sizes.where("doc_id is not null and n > 0")
@@ -498,15 +516,19 @@ def near_duplicates(docs: DataFrame, part_of: int = 3) -> DataFrame:
     sets = saved(known.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "sets")
     some = sets.join(_sharing(scanned), KEY).select("first", *KEY)
     some = saved(some, "sharing-part")
-    # What is left has no proven bound: it is not to be broadcast, whatever its size here.
-    texts = saved(docs.join(some.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    # Of the tokens nothing is read any more.
+    counted, sizes = scanned, saved(sizes, "sizes")
+    known = sizes.where("doc_id is not null and n > 0")
+    dropped(counted)
+    texts = saved(_of_ids(docs, some.select(F.col("first").alias("doc_id"))), "texts")
     # The same by the whole universe, over the sets that are left.
     again = saved(_scanned(texts, 1, _buckets(texts, 1)), "scanned-again")
     left = saved(sets.join(_sharing(again), KEY).select(*KEY, "first", (F.col("n") - F.col("alone")).alias("e")), "sharing")
-    nodes = texts.join(left.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    dropped(again)
+    nodes = _of_ids(texts, left.select(F.col("first").alias("doc_id")))
     nodes = _tokens(nodes).dropDuplicates(KEY).join(left, KEY).withColumn("node", F.monotonically_increasing_id())
     nodes = saved(nodes, "nodes")
-    dropped(again, texts)
+    dropped(texts)
     density = nodes.groupBy(F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int").alias("k")).agg(F.count("*").alias("d"), F.max("n").alias("most")).collect()  # some dozens of rows
     plan = Plan({r["k"]: r["d"] for r in density}, max((r["most"] for r in density), default=1))
     signatures = saved(_signatures(nodes, plan), "signatures")

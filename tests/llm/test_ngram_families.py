@@ -64,3 +64,43 @@ def test_families_about_the_similarity_are_whole(spark, length, own, few, seed):
     rows = family(160, 6, length, own, seed, few)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+
+
+def shuffled(spark):
+    """Bytes of shuffle written so far."""
+    gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_links_are_not_shuffled(spark, monkeypatch):
+    rng, plain, dropped, kept = random.Random(7), ngram_join.saved, ngram_join.dropped, {}
+
+    def saved(df, name):
+        out = plain(df, name)
+        kept[out.saved_at] = name
+        if name == "texts":
+            assert "scanned" not in kept.values()  # tokens go as soon as they are counted
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    monkeypatch.setattr(ngram_join, "dropped", lambda *tables: (dropped(*tables), [kept.pop(t.saved_at, None) for t in tables]))
+    word = lambda: f"{rng.randrange(16**12):x}"
+    rows = [(k, " ".join(word() for _ in range(600))) for k in range(400)]
+    rows += [(1000 + k, f"{rows[k][1]} {word()}") for k in range(12)]
+    before = shuffled(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+    assert shuffled(spark) - before < 0.6 * sum(len(t) for _, t in rows)
+
+
+def test_rows_of_ids_are_found_beyond_the_bitmaps(spark, monkeypatch):
+    docs = spark.createDataFrame([(None if k == 7 else k // 2, str(k)) for k in range(5000)], "doc_id long, text string")
+    ids = spark.range(0, 2500, 3).selectExpr("id - 30 doc_id")
+    want = sorted(str(k) for k in range(5000) if k != 7 and k // 2 % 3 == 0 and k // 2 < 2470)
+    for slots in (64, 1 << 27):
+        monkeypatch.setattr(ngram_join, "_WORD", 64)
+        monkeypatch.setattr(ngram_join, "SLOTS", slots)
+        assert sorted(r["text"] for r in ngram_join._of_ids(docs, ids).collect()) == want
