@@ -168,6 +168,12 @@ def _opened(swept: DataFrame, room: int, opened: int) -> tuple[DataFrame, int, b
     return swept.where("what = 'gap'").select(*COLUMNS).union(made), opened + need, waiting > min(need, lone)
 
 
+def _bundle(turn: int) -> int:
+    """Pieces side by side that a round allows: singles and bundles in turn. Bundles of all classes grow to the widest gap, of which there may be one only; the narrower
+    gaps take single pieces, which the next round offers them. The number stays a long, however many rounds there are."""
+    return 2 ** min(62, max(0, turn - 2)) if turn % 2 else 1
+
+
 def best_fit_rounds(sizes: DataFrame, room: int) -> DataFrame:
     """From length, n (pieces of a length): flows length, first, n, f, sequence, offset. Pieces ranked first .. first + n * f - 1 of a length go to sequences sequence, + 1, ...,
     f to each, one after another from offset on."""
@@ -178,7 +184,7 @@ def best_fit_rounds(sizes: DataFrame, room: int) -> DataFrame:
     while True:
         state, opened, waiting = _opened(swept, room, opened)
         if waiting:
-            state = _sweep(state, room, 2 ** max(0, turn - 2)).union(state.where("what = 'flow'"))
+            state = _sweep(state, room, _bundle(turn)).union(state.where("what = 'flow'"))
         swept = saved(state.coalesce(1), "packing-round")
         flows = flow(swept) if flows is None else flows.union(flow(swept))
         if not waiting:

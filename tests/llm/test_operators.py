@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nightloom.llm import licenses, lines, media, mixing, ngram_join, packing, secrets, topk, toxicity, url_filter
 from nightloom.llm import queries as Q
-from nightloom.llm.common import components
+from nightloom.llm.common import components, interpreted
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{k % 977} x{k}" for k in range(30_000))
@@ -369,6 +369,30 @@ def test_rounds_are_no_worse_than_best_fit_one_by_one(spark):
         assert len(filled) <= len(gaps) + max(1, len(gaps) // 50)
 
 
+def test_rounds_fill_narrow_gaps_too(spark, monkeypatch):
+    sizes = {107: 177, 16: 2, 17: 40, 18: 2, 19: 200, 20: 2, 21: 1000, 22: 200, 23: 2, 24: 3000, 25: 1000, 26: 1, 27: 1, 28: 3000, 29: 1, 30: 3000, 31: 40}
+    rounds, opened = [], packing._opened
+    monkeypatch.setattr(packing, "_opened", lambda *a: rounds.append(opened(*a)) or rounds[-1])
+    with interpreted(spark):
+        flows = packing.best_fit_rounds(spark.createDataFrame(list(sizes.items()), "length long, n long").coalesce(1), 128)
+    assert flows.agg(F.sum(F.col("n") * F.col("f"))).first()[0] == sum(sizes.values())
+    assert len(rounds) <= 15 and rounds[-1][1] <= 2710  # 2511 would hold the tokens
+
+
+def test_many_rounds_are_no_error(spark, monkeypatch):
+    turns, opened = [], packing._opened
+
+    def late(*a):
+        turns.append(1)
+        state, n, waiting = opened(*a)
+        return state, n, waiting or len(turns) < 68
+
+    monkeypatch.setattr(packing, "_opened", late)
+    with interpreted(spark):
+        flows = packing.best_fit_rounds(spark.createDataFrame([(5, 30), (64, 2)], "length long, n long").coalesce(1), 64)
+    assert flows.agg(F.sum(F.col("n") * F.col("f"))).first()[0] == 32
+
+
 # ---- 6 urls
 
 
