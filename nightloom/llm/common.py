@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightloom.sources.staging import released, trimmed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,29 +35,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     released()  # what plans and closures took in the driver's Python
-    _trimmed(spark)
+    trimmed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
 
-def _trimmed(spark: SparkSession) -> None:
-    """The same for what the driver's JVM took outside its heap, to compile and to send: `jcmd <pid> System.trim_native_heap`, where the JVM has it."""
-    from py4j.protocol import Py4JError
-
-    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
-    lang, java = jvm.java.lang, jvm.java.lang.Class.forName
-    try:
-        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        kinds, values = new(lang.Class, 4), new(lang.Object, 4)
-        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
-            kinds[k] = java(kind)
-        values[0], values[1], values[2], values[3] = name, "systemTrimNativeHeap", new(lang.Object, 0), new(lang.String, 0)
-        java("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), values)
-    except Py4JError:  # another JVM, or another C library: nothing to give back
-        pass
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete saved tables that no later step reads."""
     for t in tables:
@@ -119,20 +104,6 @@ def components(edges: DataFrame, name: str, limit: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def released() -> None:
-    """Give memory that Python no longer needs back to the system: workers and the driver live on, and hold what they once took."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
-        trim(0)
-
-
 SLICE = 4_000_000  # bytes of a batch that are worked on at once
 
 
